@@ -14,7 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 2 << 20
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker: texts are wide, and two copies of a batch are held on either side.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, in a session whose Arrow batches are small enough for texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
