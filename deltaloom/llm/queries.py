@@ -1,10 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import packing, token_blocks, token_counts
+from . import line_rules, minhash, packing, token_blocks, token_counts
 
 QUERIES = {
+    "op4_minhash": minhash.query,
     "op6_token_blocks": token_blocks.query,
     "op8_token_counts": token_counts.query,
     "op9_packing": packing.query,
+    "op10_line_rules": line_rules.query,
 }
 ORACLES: dict[str, str] = {}
