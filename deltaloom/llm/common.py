@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a numpy kernel works on at a time; a longer document is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 #: Bytes of an Arrow batch between Spark and a Python worker: texts are wide, and two copies of a batch are held on either side.

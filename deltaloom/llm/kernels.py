@@ -41,6 +41,13 @@ def _space() -> np.ndarray:
     return table
 
 
+@functools.cache
+def _punctuation() -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+    return table
+
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -61,9 +68,9 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Texts:
-    """The bytes of a string array with its word boundaries; null texts are empty."""
+    """The bytes of a string array with its word boundaries; null texts are empty. Folded, the letters from U+00C0 to U+00DE are small."""
 
-    def __init__(self, texts: pa.Array) -> None:
+    def __init__(self, texts: pa.Array, fold: bool = False) -> None:
         if texts.null_count:
             texts = texts.fill_null("")
         large = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
@@ -71,6 +78,10 @@ class Texts:
         data = texts.buffers()[2] if len(texts) else None
         raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
         self.buf = raw[offsets[0] : offsets[-1]]
+        if fold and len(self.buf):
+            self.buf = self.buf.copy()
+            at = np.flatnonzero(self.buf[:-1] == 0xC3) + 1
+            self.buf[at[(self.buf[at] < 0x9F) & (self.buf[at] != 0x97)]] += 0x20
         self.offsets = offsets - offsets[0]
         self.n = len(texts)
         inside = ~_space()[self.buf]
@@ -101,6 +112,17 @@ class Texts:
     def word_hashes(self, lower: bool = False) -> np.ndarray:
         return self.hashes(self.starts, self.ends, lower)
 
+    def trimmed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of words without ASCII punctuation around them, and which words have anything else."""
+        starts, ends, mark = self.starts.copy(), self.ends.copy(), _punctuation()
+        for step, edge in ((-1, ends), (1, starts)):
+            open_ = np.arange(len(edge))
+            while len(open_):
+                at = edge[open_] - 1 if step < 0 else edge[open_]
+                open_ = open_[(starts[open_] < ends[open_]) & mark[self.buf[np.minimum(at, len(self.buf) - 1)]]]
+                edge[open_] += step
+        return starts, ends, starts < ends
+
     def count(self, flags: np.ndarray) -> np.ndarray:
         """Flagged bytes of each text."""
         total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])

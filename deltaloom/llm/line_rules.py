@@ -96,8 +96,8 @@ class _Lines:
         return out
 
 
-def judge(column: pa.Array) -> tuple[dict[str, np.ndarray], pa.Array]:
-    """Figures of each text, and the texts without their failing lines."""
+def judge(column: pa.Array, with_text: bool = True) -> tuple[dict[str, np.ndarray], pa.Array]:
+    """Figures of each text, and if asked for the texts without their failing lines."""
     texts = Texts(column)
     words, lines = texts.word_hashes(), _Lines(texts)
     chars = texts.count(texts.inside & ((texts.buf & 0xC0) != 0x80))
@@ -134,7 +134,7 @@ def judge(column: pa.Array) -> tuple[dict[str, np.ndarray], pa.Array]:
         "kept": ~base & (100 * kept_words >= MIN_KEPT * n_words), "kept_words": kept_words, "n_lines": by_doc(has),
         "n_punctuation": by_doc(punctuation), "n_navigation": by_doc(navigation), "n_boilerplate": by_doc(boilerplate), "n_stutter": by_doc(stutter & has),
     }
-    return figures, _without(column, texts, lines, failed)
+    return figures, _without(column, texts, lines, failed) if with_text else column
 
 
 def _without(column: pa.Array, texts: Texts, lines: _Lines, failed: np.ndarray) -> pa.Array:
@@ -169,7 +169,7 @@ def _judged(own: list[str], with_text: bool):
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                figures, clean = judge(part.column("text"))
+                figures, clean = judge(part.column("text"), with_text)
                 cols = [*(part.column(k) for k in own), *(pa.array(figures[k], pa.int64()) for k in LONGS), *(pa.array(figures[k]) for k in FLAGS), *([clean] * with_text)]
                 yield pa.RecordBatch.from_arrays(cols, [*own, *LONGS, *FLAGS, *(["clean_text"] * with_text)])
 

@@ -15,17 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, table
 from .tokens import Encoder
 
-#: Of the word-level and the byte-level vocabulary: fixed values, the patterns by which their pre-tokens are cut.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
 
 def _byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others from U+0100 on."""
@@ -53,20 +48,20 @@ class TokenCounter(Encoder):
 
     def __init__(self, name: str) -> None:
         super().__init__(name)
-        self.pattern = regex.compile(WORD_PATTERN if self.at_end else BYTE_PATTERN)
         self.proven = prove_whole(self)
 
-    def values(self, chunks: list[str]) -> dict[str, object]:
-        cut = [self.pattern.findall(x) for x in chunks]
-        rest = list({p for c in cut for p in c}.difference(self.proven))
-        sizes = dict.fromkeys(self.proven.intersection(p for c in cut for p in c), 1)
+    joined = staticmethod(sum)
+
+    def of_pretokens(self, pretokens: list[str]) -> dict[str, object]:
+        out: dict[str, object] = dict.fromkeys(self.proven.intersection(pretokens), 1)
+        rest = [x for x in pretokens if x not in out]
         run = [x for x in rest if self.alone(x)]
         if run and (found := self.cuts(run)) is not None:
-            sizes.update(zip(run, np.diff(found[1]).tolist(), strict=True))
-        rest = [x for x in rest if x not in sizes]
+            out.update(zip(run, np.diff(found[1]).tolist(), strict=True))
+            rest = [x for x in rest if x not in out]
         if rest:
-            sizes.update((x, len(e.ids)) for x, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True))
-        return {x: sum(map(sizes.__getitem__, c)) for x, c in zip(chunks, cut, strict=True)}
+            out.update((x, len(e.ids)) for x, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        return out
 
     def count_all(self, texts: list[str | None]) -> list[int]:
         return self.each(texts, sum, len)

@@ -15,13 +15,15 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import regex
 
 #: White space up to U+00FF in the library's patterns.
 _WHITE = r"\t-\r \x85\xa0"
-#: Chunks kept by a Python worker, from their second time on; no more are taken then, so that memory stays bounded (some 130 MB).
-KEPT = 600_000
-#: Marks of chunks seen once, by hash.
-SEEN_BITS = 22
+#: Of the word-level and the byte-level vocabulary: fixed values, the patterns by which their pre-tokens are cut.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Chunks kept by a Python worker; no more are taken then, so that memory stays bounded (some 220 MB).
+KEPT = 1_200_000
 #: A longer chunk is not kept.
 LONGEST = 40
 
@@ -60,7 +62,7 @@ class Encoder:
             self.marked[k] = piece.endswith(mark) if self.at_end else piece.startswith(mark)
         self.kept: dict[str, object] = {}
         self.missed = 0
-        self.seen = bytearray(1 << SEEN_BITS)
+        self.pretokens = regex.compile(WORD_PATTERN if words else BYTE_PATTERN).findall
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -80,20 +82,35 @@ class Encoder:
     def value(self, ids: list[int]) -> object:
         return np.asarray(ids, "<u4").tobytes()
 
-    def values(self, chunks: list[str]) -> dict[str, object]:
-        """The value of each chunk, through the library."""
-        run = [x for x in chunks if self.alone(x)]
+    def of_pretokens(self, pretokens: list[str]) -> dict[str, object]:
+        """The value of each pre-token, through the library."""
+        run = [x for x in pretokens if self.alone(x)]
         found = self.cuts(run) if run else None
         if found is None:
             run, out = [], {}
         else:
             data, ends = found[0].tobytes(), (found[1] * 4).tolist()
             out = {x: data[i:j] for x, i, j in zip(run, ends[:-1], ends[1:], strict=True)}
-        rest = [x for x in chunks if x not in out] if len(run) < len(chunks) else []
-        if rest:
+        if len(run) < len(pretokens):
+            rest = [x for x in pretokens if x not in out]
             out.update((x, self.value(e.ids)) for x, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True))
         return out
 
+    #: The value of a chunk from those of its pre-tokens.
+    joined = staticmethod(b"".join)
+
+    def values(self, chunks: list[str]) -> dict[str, object]:
+        """The values of new chunks, and of new pre-tokens in them."""
+        cut = {x: self.pretokens(x) for x in chunks if not x.isalpha()}
+        kept = self.kept
+        needed = {p for c in cut.values() for p in c if p not in kept}
+        needed.update(x for x in chunks if x not in cut)
+        out = self.of_pretokens(list(needed))
+        for x, c in cut.items():
+            if x not in out:
+                out[x] = self.joined([out[p] if p in out else kept[p] for p in c])
+        return out
+
     def chunks(self, text: str) -> list[str] | None:
         """None if the text must go through the library as a whole."""
         if self.odd.search(text):
@@ -104,18 +121,11 @@ class Encoder:
         """The values of chunks that are not kept; as many as there is room for are kept from now on."""
         found = self.values(list(new))
         if len(self.kept) < KEPT:
-            kept, seen, mask = self.kept, self.seen, (1 << SEEN_BITS) - 1
-            for k, v in found.items():
-                h = hash(k) & mask
-                if seen[h]:
-                    if len(k) <= LONGEST:
-                        kept[k] = v
-                else:
-                    seen[h] = 1
+            self.kept.update(found if max(map(len, found)) <= LONGEST else {k: v for k, v in found.items() if len(k) <= LONGEST})
         else:
             self.missed += len(found)
             if self.missed > 8 * KEPT:  # other words are frequent by now
-                self.kept, self.missed, self.seen = {}, 0, bytearray(1 << SEEN_BITS)
+                self.kept, self.missed = {}, 0
         return found
 
     def each(self, texts: list[str | None], of: Callable[[list[object]], object], whole: Callable[[list[int]], object]) -> list[object]:
