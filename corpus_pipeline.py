@@ -1,4 +1,72 @@
-STAGES = []
+"""From raw documents to packed training sequences: quality rules, language ID, near-dedup, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Rows without a doc_id can't be named by
+near-dedup and decontamination and stay; a doc_id in several rows is one document for near-dedup, of which one row stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from deltaloom.llm import decontamination, language_id, line_rules, minhash, packing
+from deltaloom.llm.common import table, written
+
+#: Ids to remove are broadcast only if there are at most so many (8 bytes each), else joined by shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows that have one of the ids (a column doc_id)."""
+    ids = written(ids.select("doc_id").distinct(), "removed")
+    if ids.count() <= MOST_BROADCAST:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines are removed, and documents that lose too much or fail the base rules are rejected."""
+    return line_rules.cleaned(docs)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of which no language reaches language_id.MIN_SCORE, are rejected."""
+    model = language_id.train(docs.where(~language_id.held_out()))
+    labelled = language_id.predict(docs, model)
+    known = labelled.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.MIN_SCORE))
+    return known.select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates stays: the one with the least doc_id."""
+    found = written(minhash.near_duplicates(docs), "components")
+    left = _without(docs, found.where(~F.col("kept")))
+    named = found.where("kept AND doc_id IS NOT NULL AND n_shingles > 0")
+    if minhash.docs_repeat(named.select(F.col("doc_id").alias("id"))):
+        left = left.where("doc_id IS NULL").unionByName(left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    return left
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return _without(docs, decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.pack_documents(docs, "byte_bpe_50k.json", 1)
+
+
+STAGES = [("quality rules", quality_rules), ("language ID", language), ("near-dedup", near_dedup), ("decontamination", decontaminate), ("packing", pack)]
+
+#: Models, tokenizers and connected components are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, name.replace(" ", "-"))
+    return docs
