@@ -7,10 +7,11 @@ band share a bucket.
 
 Texts of the same set are one class from the start, found by grouping on 128 bits of hash. Within a bucket, every
 class is compared with a pivot of the bucket, which links most of a group of copies in a number of comparisons in
-proportion to its size. What is left in a bucket of several components is compared pair by pair, unless the distances
-to the pivot prove that the pair is too far apart: 1 - similarity is a metric, so a pair's distance is at least the
-difference of theirs to the pivot. So no link between different texts of a bucket is lost, at no cap. Two texts at the
-threshold of 0.8 share none of 32 bands of 5 with a probability of 3 in a million, and less the more alike they are.
+proportion to its size. What is left in a bucket of several components is compared pair by pair, but for pairs that
+are too far apart: 1 - similarity is a metric, so a pair's distance is at least the difference of theirs to the pivot;
+and BITS coordinates of one bit each tell pairs well below the threshold. There is no cap on comparisons. Two texts at the
+threshold of 0.8 share none of 32 bands of 5 with a probability of 3 in a million, and differ in more bits than allowed
+with one of about 1 in a million; both are less the more alike they are.
 
 Null ids: such a row is in no component and is kept. Empty and null texts, and those without words, have no shingle
 and link with nothing. Repeated rows of one id are one node; texts of one id link their components. An empty table
@@ -24,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +37,8 @@ BANDS, ROWS = 32, 5
 #: Orders in which pivots are chosen; more give more chances to link a wide group at once, and more comparisons.
 PIVOTS = 4
 _CHUNK = 2048
+#: One-bit coordinates for what is left after the pivots, and how many standard deviations of differing bits are allowed.
+BITS, DEVIATIONS = 2048, 5
 
 
 @functools.cache
@@ -106,6 +108,24 @@ def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS,
     return docs.mapInArrow(sketch, "id long, n_shingles long, k1 long, k2 long, what array<long>").withColumnRenamed("what", "hashes" if full else "bands")
 
 
+def bit_sketches(sets: DataFrame) -> DataFrame:
+    """id and BITS coordinates of one bit, as longs, of a table with full sets."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("hashes")
+            flat, cuts = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), (lists.offsets.to_numpy() - lists.offsets[0].as_py())
+            bits = [np.packbits((signature(flat[a:b], BITS) & 1).astype(np.uint8)).view(np.uint64) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(bits)], ["id", "bits"])
+
+    return sets.select("id", "hashes").mapInArrow(sketch, "id long, bits array<long>")
+
+
+def bits_allowed(percent: int) -> int:
+    differ = (1 - percent / 100) / 2
+    return int(BITS * differ + DEVIATIONS * (BITS * differ * (1 - differ)) ** 0.5)
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) with their distance and whether they link: 100 * intersection >= percent * union."""
     a = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
@@ -123,10 +143,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     linkable = all_rows.where("n_shingles > 0 AND id IS NOT NULL")
     # one row for each set: its class, named by the least id
     classes = written(linkable.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("members")), "classes")
-    members = classes.select("rep", "n", F.posexplode("bands").alias("band", "bucket"))
+    members = classes.select("rep", "n", "bands", F.posexplode("bands").alias("band", "bucket"))
     order = F.xxhash64("rep", F.pmod("band", F.lit(PIVOTS)))
     crowded = members.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "rep", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"))
-    shared = written(members.join(crowded, "bucket").select("bucket", "rep", "n", "pivot", "pn"), "buckets")
+    shared = written(members.drop("bands").join(crowded, "bucket").select("bucket", "band", "rep", "n", "pivot", "pn"), "buckets")
     ratio = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     star = shared.where("rep <> pivot").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
     # full sets of the classes that share a bucket, from the texts
@@ -146,17 +166,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # distances of a bucket's classes to its pivot, and their components
     far = tested.select(F.col("a").alias("x"), F.col("b").alias("y"), "distance")
     to_pivot = shared.withColumns({"x": F.greatest("rep", "pivot"), "y": F.least("rep", "pivot")}).join(far, ["x", "y"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
-    placed = written(label(label(to_pivot, "rep", "comp"), "pivot", "pcomp").select("bucket", "rep", "n", "comp", "pcomp", "distance"), "placed")
+    placed = written(label(label(to_pivot, "rep", "comp"), "pivot", "pcomp").select("bucket", "band", "rep", "n", "comp", "pcomp", "distance"), "placed")
     reach = 1 - percent / 100 + 1e-9
-    others = placed.where("comp <> pcomp").select("bucket", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("c"), F.col("distance").alias("d"))
-    apart = (F.col("c") != F.col("comp")) & (F.abs(F.col("d") - F.col("distance")) <= reach) & ratio(F.col("m"), F.col("n"))
-    inner = others.join(placed.where("comp <> pcomp"), "bucket").where(apart & (F.col("r") < F.col("rep")))
-    outer = others.where(F.col("d") <= 2 * reach).join(placed.where("comp = pcomp AND distance > 0"), "bucket").where(apart)
+    # buckets of several components, with what tells pairs apart; a pair is compared in the first band that it shares
+    several = placed.where("comp <> pcomp").select("bucket").distinct()
+    mixed = placed.join(several, "bucket", "left_semi")
+    bits = written(bit_sketches(sets.join(mixed.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")), "bits")
+    mixed = written(mixed.join(bits.withColumnRenamed("id", "rep"), "rep").join(classes.select("rep", "bands"), "rep"), "mixed")
+    others = mixed.where("comp <> pcomp").select("bucket", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("c"), F.col("distance").alias("d"), F.col("bits").alias("rbits"), F.col("bands").alias("rbands"))
+    differing = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("rbits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    earlier = F.when(F.col("band") > 0, F.exists(F.sequence(F.lit(0), F.col("band") - 1), lambda j: F.get("bands", j) == F.get("rbands", j))).otherwise(F.lit(False))
+    apart = (F.col("c") != F.col("comp")) & (F.abs(F.col("d") - F.col("distance")) <= reach) & ratio(F.col("m"), F.col("n")) & (differing <= bits_allowed(percent)) & ~earlier
+    inner = others.join(mixed.where("comp <> pcomp"), "bucket").where(apart & (F.col("r") < F.col("rep")))
+    outer = others.where(F.col("d") <= 2 * reach).join(mixed.where("comp = pcomp AND distance > 0"), "bucket").where(apart)
     rest = inner.select("r", "rep").unionByName(outer.select("r", "rep")).select(F.greatest("r", "rep").alias("a"), F.least("r", "rep").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     rest = written(rest, "rest")
     more = written(_similar(rest, sets, percent).where("linked").select("a", "b"), "more")
     found = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)) if more.take(1) else first
-    named = linkable.select("id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]) if False else classes.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+    named = classes.select("k1", "k2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     alone = F.col("n_shingles") == 0
     out = all_rows.join(named, ["k1", "k2"], "left").select("id", "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
