@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -59,6 +63,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean() -> None:
+    """In a Python worker that earlier tasks have left tokenizers in: lets go of them and of freed memory. For tasks that need none."""
+    found = sys.modules.get(f"{__package__}.tokens")
+    if found is None or not found.forget():
+        return
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """batch in runs of rows whose texts have about `most` bytes, in order; no row is cut."""
     import numpy as np

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import lean, slices, table
 from .kernels import Texts, mix, windows
 
 WIDTH, LEAST = 8, 4
@@ -98,6 +98,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = wanted.schema["item"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "text"):
                 canon = Canonical(part.column("text"))
@@ -127,6 +128,7 @@ def document_windows(docs: DataFrame, widths: list[int], marks: np.ndarray | Non
     kind = wanted.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "text"):
                 canon = Canonical(part.column("text"))

@@ -62,7 +62,7 @@ def powers(base: int, n: int) -> np.ndarray:
             more = min(have, n - have)
             found[have : have + more] = found[:more] * step
             have += more
-        if n <= 8 << 20:
+        if n <= 2 << 20:
             _powers[base] = found
     return found[:n]
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import lean, slices, table
 from .kernels import Texts
 from .sampling import sample
 
@@ -32,7 +32,7 @@ WINDOW = 256
 #: Training: texts of each language, characters of each, passes, step size.
 PER_CLASS, CHARS, EPOCHS, STEP = 800, 300, 8, 0.02
 #: In the pipeline, texts whose best language has less probability than this are rejected.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.5
 UNKNOWN = "und"
 
 
@@ -196,6 +196,7 @@ def predict(docs: DataFrame, model: Pairs | None, text_col: str = "text") -> Dat
     schema = ", ".join([*(f"{k} {f.dataType.simpleString()}" for k, f in zip(hidden, docs.schema, strict=True)), "lang_pred string, score double"])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text")

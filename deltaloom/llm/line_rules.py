@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import lean, slices, table
 from .kernels import Texts, mix, per_group, windows
 
 #: Base rules: fewest words, window of repeated words, most percent of words in repeated windows.
@@ -167,6 +167,7 @@ def _schema(with_text: bool) -> str:
 
 def _judged(own: list[str], with_text: bool):
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "text"):
                 figures, clean = judge(part.column("text"), with_text)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import lean, slices, table, written
 from .components import components
 from .kernels import Texts, mix, windows
 
@@ -98,6 +98,7 @@ def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS,
     """id, n_shingles, k1, k2 (the set's hash) with either the band hashes or the full set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingles(part.column("text"), width)
@@ -112,6 +113,7 @@ def bit_sketches(sets: DataFrame) -> DataFrame:
     """id and BITS coordinates of one bit, as longs, of a table with full sets."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             lists = batch.column("hashes")
             flat, cuts = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), (lists.offsets.to_numpy() - lists.offsets[0].as_py())

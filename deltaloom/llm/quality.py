@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import lean, slices, table, written
 from .line_rules import judge
 from .sampling import sample
 
@@ -75,6 +75,7 @@ def evidence(docs: DataFrame, model: Logistic | None, id_col: str, text_col: str
     kinds = {k: wanted.schema[k].dataType.simpleString() for k in ("id", "host", "path")}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "text"):
                 p = np.full(part.num_rows, 0.5) if model is None else np.clip(model(features(part.column("text"))), EDGE, 1 - EDGE)

@@ -10,7 +10,6 @@ gives an empty one, and columns other than the two named are dropped, so that no
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, table
-from .tokens import Encoder
+from .tokens import Encoder, load
 
 
 def _byte_of() -> dict[str, int]:
@@ -67,9 +66,8 @@ class TokenCounter(Encoder):
         return self.each(texts, sum, len)
 
 
-@functools.cache
 def counter(name: str) -> TokenCounter:
-    return TokenCounter(name)
+    return load(TokenCounter, name)
 
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:

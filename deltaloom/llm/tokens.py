@@ -9,7 +9,6 @@ any other character, or with an added token in it, goes through the library as a
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from collections.abc import Callable
@@ -151,7 +150,23 @@ class Encoder:
         return self.each(texts, b"".join, self.value)
 
 
-@functools.cache
+_loaded: dict[tuple[type, str], Encoder] = {}
+
+
+def load(kind: type, name: str) -> Encoder:
+    """One of a kind and file for each Python worker."""
+    if (kind, name) not in _loaded:
+        _loaded.clear()  # a worker rarely needs two at a time
+        _loaded[kind, name] = kind(name)
+    return _loaded[kind, name]
+
+
 def encoder(name: str) -> Encoder:
-    """One for each Python worker."""
-    return Encoder(name)
+    return load(Encoder, name)
+
+
+def forget() -> bool:
+    """Whether there was anything to let go of."""
+    had = bool(_loaded)
+    _loaded.clear()
+    return had

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import lean, slices, table
 from .kernels import Texts
 from .sampling import sample, without_copies
 
@@ -166,6 +166,7 @@ def toxicity(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", tex
     kind = wanted.schema["id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = Texts(part.column("text"), fold=True)
