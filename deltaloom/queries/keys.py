@@ -285,8 +285,8 @@ def scan_latencies(spark, d):
     return documents.latencies(docs).agg(r6(F.percentile("ms", F.lit(0.5))).alias("p50"), r6(F.percentile("ms", F.lit(0.95))).alias("p95"), F.count("*").alias("n"))
 
 
-@query("scan_tensor_key_sample", f"SELECT file AS path, list(key ORDER BY n)[1:5] AS keys FROM {KEYS.sql} k GROUP BY file")
+@query("scan_tensor_key_sample", f"SELECT file AS path, array_to_string(list(key ORDER BY n)[1:5], ',') AS keys FROM {KEYS.sql} k GROUP BY file")
 def scan_tensor_key_sample(spark, d):
     lists = KEYS.df(spark, d).groupBy(F.col("file").alias("path")).agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("e"))
     head = F.concat(F.lit("{"), F.array_join(F.transform("e", lambda e: F.concat(F.lit('"'), e["key"], F.lit('": {}'))), ", "), F.lit("}"))
-    return documents.key_sample(lists.select("path", head.alias("header")), 5)
+    return documents.key_sample(lists.select("path", head.alias("header")), 5).select("path", F.array_join("keys", ",").alias("keys"))
