@@ -22,14 +22,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import slices, table, written
-from .tokens import encoder
+from .tokens import KEPT, encoder
 
 LIMIT = 2048
 #: Rows of one length that are ranked together; a crowded length is split into as many groups as this needs.
 RANKED_TOGETHER = 20_000
 
 
-def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, kept: int = KEPT) -> DataFrame:
     """id, start, length, ids_crc32, doc_tokens of each piece, and if asked for its ids as binary (little-endian u32)."""
     wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = wanted.schema["id"].dataType.simpleString()
@@ -38,7 +38,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, limit: int = LIMIT
     step = 4 * limit
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = encoder(vocabulary, kept)
         end = own.value([end_id])
         for batch in batches:
             for run in slices(batch, "text"):
@@ -141,9 +141,9 @@ def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     return ranked.select(*own, "rank").mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """A row for each piece: id_col, start, length, ids_crc32, doc_tokens, (ids,) sequence_id, offset."""
-    pieces = written(cut_pieces(docs, vocabulary, end_id, limit, id_col, text_col, with_ids), "pieces")
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, kept: int = KEPT) -> DataFrame:
+    """A row for each piece: id_col, start, length, ids_crc32, doc_tokens, (ids,) sequence_id, offset. kept: chunks that a Python worker may keep."""
+    pieces = written(cut_pieces(docs, vocabulary, end_id, limit, id_col, text_col, with_ids, kept), "pieces")
     return pack(pieces, limit).withColumnRenamed("id", id_col)
 
 

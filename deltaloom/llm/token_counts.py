@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, table
-from .tokens import Encoder, load
+from .tokens import KEPT, Encoder, load
 
 
 def _byte_of() -> dict[str, int]:
@@ -45,8 +45,8 @@ def prove_whole(encoder: Encoder) -> frozenset[str]:
 class TokenCounter(Encoder):
     """The value of a chunk is its number of tokens."""
 
-    def __init__(self, name: str) -> None:
-        super().__init__(name)
+    def __init__(self, name: str, most: int = KEPT) -> None:
+        super().__init__(name, most)
         self.proven = prove_whole(self)
 
     joined = staticmethod(sum)

@@ -39,7 +39,8 @@ def vocabulary(name: str) -> str:
 class Encoder:
     """encode_all(texts): the ids of each as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, name: str) -> None:
+    def __init__(self, name: str, most: int = KEPT) -> None:
+        self.most = most
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -119,11 +120,11 @@ class Encoder:
     def learn(self, new: set[str]) -> dict[str, object]:
         """The values of chunks that are not kept; as many as there is room for are kept from now on."""
         found = self.values(list(new))
-        if len(self.kept) < KEPT:
+        if len(self.kept) < self.most:
             self.kept.update(found if max(map(len, found)) <= LONGEST else {k: v for k, v in found.items() if len(k) <= LONGEST})
         else:
             self.missed += len(found)
-            if self.missed > 8 * KEPT:  # other words are frequent by now
+            if self.missed > 8 * self.most:  # other words are frequent by now
                 self.kept, self.missed = {}, 0
         return found
 
@@ -150,19 +151,19 @@ class Encoder:
         return self.each(texts, b"".join, self.value)
 
 
-_loaded: dict[tuple[type, str], Encoder] = {}
+_loaded: dict[tuple[type, str, int], Encoder] = {}
 
 
-def load(kind: type, name: str) -> Encoder:
+def load(kind: type, name: str, most: int = KEPT) -> Encoder:
     """One of a kind and file for each Python worker."""
-    if (kind, name) not in _loaded:
+    if (kind, name, most) not in _loaded:
         _loaded.clear()  # a worker rarely needs two at a time
-        _loaded[kind, name] = kind(name)
-    return _loaded[kind, name]
+        _loaded[kind, name, most] = kind(name, most)
+    return _loaded[kind, name, most]
 
 
-def encoder(name: str) -> Encoder:
-    return load(Encoder, name)
+def encoder(name: str, most: int = KEPT) -> Encoder:
+    return load(Encoder, name, most)
 
 
 def forget() -> bool:
