@@ -15,6 +15,9 @@ from deltaloom.llm.common import table, written
 #: Ids to remove are broadcast only if there are at most so many (8 bytes each), else joined by shuffle.
 MOST_BROADCAST = 1_000_000
 
+#: Chunks whose ids a Python worker keeps: fewer than packing alone may, as workers and executors come from other stages.
+KEPT = 150_000
+
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows that have one of the ids (a column doc_id)."""
@@ -54,7 +57,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
-    return packing.pack_documents(docs, "byte_bpe_50k.json", 1)
+    return packing.pack_documents(docs, "byte_bpe_50k.json", 1, kept=KEPT)
 
 
 STAGES = [("quality rules", quality_rules), ("language ID", language), ("near-dedup", near_dedup), ("decontamination", decontaminate), ("packing", pack)]
