@@ -35,7 +35,7 @@ def pair_problem(shape_a, shape_b):
 def halves_joined(tensors: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each (keys, base, embedding): structs a and b of its halves (null if there is none), duplicates counted."""
     half = F.struct("key", "dtype", "shape", "data_offsets")
-    side = lambda s: F.min(F.when(F.col("side") == s, half))
+    side = lambda s: F.min_by(half, F.when(F.col("side") == s, F.col("key")))
     return tensors.where("side IS NOT NULL").groupBy(*keys, "base", "embedding").agg(side("A").alias("a"), side("B").alias("b"))
 
 
