@@ -189,3 +189,36 @@ def cleaned(docs: DataFrame, text_col: str = "text", length_col: str | None = "n
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(table(spark, sf_dir, "documents"))
+
+
+_PHRASES = ", ".join(f"'{p}'" for p in BOILERPLATE)
+#: The same figures and verdicts in SQL, line by line.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+), w AS MATERIALIZED (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d
+), win AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w WHERE len(w) >= {WINDOW}) x
+), twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) x WHERE c > 1
+), rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM twice) x GROUP BY doc_id
+), lines AS MATERIALIZED (
+  SELECT doc_id, o, l, regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+') AS lw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS o FROM d) x
+), worded AS MATERIALIZED (
+  SELECT doc_id, o, l, lw, len(lw) AS n, row_number() OVER (PARTITION BY doc_id, l ORDER BY o) > 1 AS repeats, list_transform(lw, lambda x: CASE WHEN len(x) > 1 THEN regexp_replace(x, '[.,;:!?]$', '') ELSE x END) AS trimmed
+  FROM lines WHERE len(lw) > 0
+), judged AS (
+  SELECT doc_id, n, repeats,
+    len(regexp_extract_all(l, '[#*$%&|<>!?]')) > {SYMBOLS_PER_WORD} * n OR (n < {SHORT_LINE} AND NOT regexp_matches(lw[-1], '([.!?:;"'')\\]}}]|[^\\x00-\\x7F])$')) AS punctuation,
+    len(list_filter(lw, lambda x: x IN ('|', '>', '/', '*'))) >= 2 AND len(list_filter(lw, lambda x: x IN ('|', '>', '/', '*'))) * {SEPARATOR_SHARE} >= n AS navigation,
+    len(list_filter(range(1, n), lambda i: translate(trimmed[i] || ' ' || trimmed[i + 1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN ({_PHRASES}))) > 0 AS boilerplate,
+    len(list_filter(range(1, n), lambda i: lw[i] = lw[i + 1])) > n / 3.0::DOUBLE AS stutter
+  FROM worded
+), s AS (
+  SELECT doc_id, sum(repeats::INTEGER)::BIGINT AS n_dup_lines, sum(CASE WHEN repeats OR punctuation OR navigation OR boilerplate OR stutter THEN n ELSE 0 END)::BIGINT AS lost, count(*) AS n_lines,
+    sum(punctuation::INTEGER)::BIGINT AS n_punctuation, sum(navigation::INTEGER)::BIGINT AS n_navigation, sum(boilerplate::INTEGER)::BIGINT AS n_boilerplate, sum(stutter::INTEGER)::BIGINT AS n_stutter FROM judged GROUP BY doc_id
+), f AS (
+  SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    len(w)::BIGINT - coalesce(lost, 0) AS kept_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_punctuation, 0) AS n_punctuation, coalesce(n_navigation, 0) AS n_navigation, coalesce(n_boilerplate, 0) AS n_boilerplate, coalesce(n_stutter, 0) AS n_stutter
+  FROM w LEFT JOIN s USING (doc_id) LEFT JOIN rep USING (doc_id)
+)
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words) AND 100 * kept_words >= {MIN_KEPT} * n_words AS kept FROM f
+"""

@@ -199,3 +199,22 @@ def docs_repeat(rows: DataFrame) -> bool:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+#: The whole definition in SQL: all pairs that share a shingle, counted, and the least id reachable.
+ORACLE = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(g) AS h FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN ['short ' || array_to_string(w, ' ')] ELSE [] END) AS g FROM w) t
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT a, b, c, x.n + y.n - c AS u FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b) t WHERE 100 * c >= 80 * u
+), both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(node, seen) AS (SELECT a, a FROM both_ways UNION SELECT both_ways.b, reach.seen FROM reach JOIN both_ways ON both_ways.a = reach.node
+), least AS (SELECT node, min(seen) AS c FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least.c, d.doc_id) AS component_id, coalesce(least.c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.node = d.doc_id
+"""

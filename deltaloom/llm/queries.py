@@ -14,4 +14,4 @@ QUERIES = {
     "op9_packing": packing.query,
     "op10_line_rules": line_rules.query,
 }
-ORACLES: dict[str, str] = {"op3_sharding": sharding.ORACLE}
+ORACLES: dict[str, str] = {"op3_sharding": sharding.ORACLE, "op4_minhash": minhash.ORACLE, "op10_line_rules": line_rules.ORACLE}
