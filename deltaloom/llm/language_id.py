@@ -188,11 +188,10 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return net.pairs()
 
 
-def predict(docs: DataFrame, model: Pairs | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
-    own = docs.columns
-    hidden = [f"c{i}" for i in range(len(own))]
-    wanted = docs.toDF(*hidden).withColumn("text", F.col(hidden[own.index(text_col)])) if text_col in own else None
+def _labelled(docs: DataFrame, model: Pairs | None, text_col: str) -> tuple[DataFrame, list[str]]:
+    """docs under other names, with lang_pred and score, so that no column of docs can clash."""
+    hidden = [f"c{i}" for i in range(len(docs.columns))]
+    wanted = docs.toDF(*hidden).withColumn("text", F.col(hidden[docs.columns.index(text_col)]))
     schema = ", ".join([*(f"{k} {f.dataType.simpleString()}" for k, f in zip(hidden, docs.schema, strict=True)), "lang_pred string, score double"])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,8 +209,20 @@ def predict(docs: DataFrame, model: Pairs | None, text_col: str = "text") -> Dat
                     score = np.where(letters, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in hidden), pa.array(names, pa.string()), pa.array(score, pa.float64())], [*hidden, "lang_pred", "score"])
 
-    out = wanted.mapInArrow(label, schema)
-    return out.select(*(F.col(k).alias(c) for k, c in zip(hidden, own, strict=True)), "lang_pred", "score")
+    return wanted.mapInArrow(label, schema), hidden
+
+
+def predict(docs: DataFrame, model: Pairs | None, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score, which replace columns of these names."""
+    out, hidden = _labelled(docs, model, text_col)
+    return out.select(*(F.col(k).alias(c) for k, c in zip(hidden, docs.columns, strict=True) if c not in ("lang_pred", "score")), "lang_pred", "score")
+
+
+def known(docs: DataFrame, model: Pairs | None, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows whose language is known with at least min_score, as they are."""
+    out, hidden = _labelled(docs, model, text_col)
+    good = out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    return good.select(*(F.col(k).alias(c) for k, c in zip(hidden, docs.columns, strict=True)))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -71,6 +71,10 @@ def test_language(spark):
     got = language_id.predict(odd(spark), model).collect()
     assert len(got) == len(ODD) + 3
     assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in got if not any(c.isalpha() for c in r["text"] or ""))
+    clash = odd(spark).withColumn("score", language_id.F.lit("own")).withColumn("lang_pred", language_id.F.lit(1))
+    kept = language_id.known(clash, model)
+    assert kept.columns == clash.columns and kept.where("score <> 'own'").count() == 0 and 0 < kept.count() < clash.count()
+    assert language_id.predict(clash, model).columns == [*odd(spark).columns, "lang_pred", "score"]
     none = language_id.train(odd(spark).where("lang = 'nowhere'"))
     assert none is None and language_id.predict(odd(spark), none).where("lang_pred <> 'und'").count() == 0
 
@@ -285,6 +289,20 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     assert planted and planted <= {(r[0], r[1]) for r in want}
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    clash = {c: language_id.F.lit(c) for c in ("id", "kept", "score", "lang_pred", "component_id", "length", "sequence_id", "p", "h", "clean_text")}
+    rows = docs(spark).unionByName(odd(spark).select("doc_id", "text", "lang", "source").withColumn("n_chars", language_id.F.lit(None).cast("long"))).withColumns(clash)
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, SMALL, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() > 0
+    rows.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    table(spark, SMALL, "benchmark").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
