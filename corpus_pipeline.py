@@ -35,9 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of which no language reaches language_id.MIN_SCORE, are rejected."""
     model = language_id.train(docs.where(~language_id.held_out()))
-    labelled = language_id.predict(docs, model)
-    known = labelled.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.MIN_SCORE))
-    return known.select(docs.columns)
+    return language_id.known(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
