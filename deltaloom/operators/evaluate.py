@@ -72,8 +72,8 @@ def arm_gate(report: DataFrame) -> DataFrame:
     return report.withColumn("reasons", gate_reasons()).withColumn("armed", F.size("reasons") == 0)
 
 
-def scored(results: DataFrame) -> DataFrame:
-    """adapter_id, label, attack, score, p_value, alphas of labelled result documents; without a reference, all measures are null."""
+def scored(results: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns to keep, adapter_id, label, attack, score, p_value, alphas of labelled result documents; without a reference, all measures are null."""
     r = lambda c: F.col(f"anomaly.reference.{c}")
     bad = F.when(~F.col("label").isin(0, 1), F.raise_error(F.lit("label must be 0 or 1")).cast("string"))
-    return results.select(F.coalesce(bad, F.col("artifact.logical_id"), F.concat(F.lit("adapter-"), F.col("ordinal").cast("string"))).alias("adapter_id"), "label", F.when(F.col("label") == 1, F.col("attack")).alias("attack"), r("distance").alias("score"), r("p_value").alias("p_value"), r("alpha_block").alias("alpha_block"), r("alpha_review").alias("alpha_review"))
+    return results.select(*keep, F.coalesce(bad, F.col("artifact.logical_id"), F.concat(F.lit("adapter-"), F.col("ordinal").cast("string"))).alias("adapter_id"), "label", F.when(F.col("label") == 1, F.col("attack")).alias("attack"), r("distance").alias("score"), r("p_value").alias("p_value"), r("alpha_block").alias("alpha_block"), r("alpha_review").alias("alpha_review"))

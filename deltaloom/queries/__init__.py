@@ -1,4 +1,4 @@
 """All queries of the adapter analytics, with their SQL."""
 
-from . import decisions, keys, scans, vectors  # noqa: F401
+from . import decisions, keys, more, scans, vectors  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401

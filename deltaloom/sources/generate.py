@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .tensorfile import local, write
 
 # Projections as (block, outputs, inputs), and the kinds of attack.
-LAYOUT = {"q_proj": ("self_attn", 128, 128), "k_proj": ("self_attn", 64, 128), "v_proj": ("self_attn", 64, 128), "o_proj": ("self_attn", 128, 128), "gate_proj": ("mlp", 256, 128), "up_proj": ("mlp", 256, 128), "down_proj": ("mlp", 128, 256)}
+LAYOUT = {"q_proj": ("self_attn", 128, 128), "k_proj": ("self_attn", 64, 128), "v_proj": ("self_attn", 64, 128), "o_proj": ("self_attn", 128, 128), "gate_proj": ("mlp", 256, 128), "up_proj": ("mlp", 256, 128), "down_proj": ("mlp", 512, 256)}
 ATTACKS = ["concentrated_rows", "rank_spike", "rare_token", "scale_hide"]
 KINDS = ["benign", "untrained", "heavy_tailed", *ATTACKS]
 VOCABULARY, HIDING = 512, 8.0
