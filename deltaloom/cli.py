@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import sys
+import tempfile
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .functions import ids
 from .plans import batch
@@ -37,22 +41,40 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
+@contextlib.contextmanager
+def _folder(spark: SparkSession) -> Iterator[str]:
+    """A folder for intermediate tables: in the cluster's shared one, or on a local master a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if shared:
+        yield f"{shared.rstrip('/')}/scan-{uuid.uuid4().hex}"
+        return
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    with tempfile.TemporaryDirectory() as folder:
+        yield folder
+
+
+def _scan(args: argparse.Namespace, work: batch.Workspace, paths: DataFrame, settings: Settings) -> int:
+    found = work.written(scan(paths, settings, written=work.written), "document")
+    text = {"text": reports.as_text, "json": reports.as_json, "full-json": lambda r: reports.as_json(r, True), "sarif": reports.as_sarif}[args.format](found).first()[1]
+    if args.output:
+        with open(args.output, "w", encoding="utf-8") as f:
+            f.write(text)
+    else:
+        print(text)
+    row = found.select("status", "verdict.action").first()
+    reached = args.fail_on and ids.ACTIONS.index(row["action"]) >= ids.ACTIONS.index(args.fail_on)
+    return 1 if row["status"] == "failed" else 2 if reached else 0
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("deltaloom").getOrCreate()
     if args.command == "scan":
         paths = spark.createDataFrame([(args.adapter,)], "path string")
         settings = Settings(args.mode, args.policy, include_modules=args.include_modules or args.format == "full-json", include_heads=args.include_heads)
-        found = scan(paths, settings).cache()
-        text = {"text": reports.as_text, "json": reports.as_json, "full-json": lambda r: reports.as_json(r, True), "sarif": reports.as_sarif}[args.format](found).first()[1]
-        if args.output:
-            with open(args.output, "w", encoding="utf-8") as f:
-                f.write(text)
-        else:
-            print(text)
-        row = found.select("status", "verdict.action").first()
-        reached = args.fail_on and ids.ACTIONS.index(row["action"]) >= ids.ACTIONS.index(args.fail_on)
-        return 1 if row["status"] == "failed" else 2 if reached else 0
+        with _folder(spark) as folder:
+            return _scan(args, batch.Workspace(spark, folder), paths, settings)
     work = batch.Workspace(spark, args.output_dir)
     if args.input_dir:
         paths = listing.scan_dir(spark, args.input_dir).selectExpr("path", "0L AS ordinal")
