@@ -100,7 +100,7 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("double")
     own = {"log_rms": stats.log(stats.total(x, lambda v: F.abs(v))), "kurt_dw": stats.kurtosis(x), "row_hoyer": stats.hoyer(x), "row_top8": stats.top_share(x), "col_hoyer": stats.hoyer(F.slice(x, 1, 32))}
     out = e.select(F.lit("all").alias("path"), F.col("vec_id").cast("string").alias("base"), F.concat(F.lit("m"), F.col("label").cast("string")).alias("module"), F.lit("").alias("stack"), "layer", F.lit(None).cast("int").alias("expert"), F.when(F.col("label") % 2 == 0, "attention").otherwise("mlp").alias("kind"), stats.total(x, lambda v: F.abs(v)).alias("energy"), *(own.get(f, none).alias(f) for f in stats.ALL_FEATURES))
-    return compare.with_family(out)
+    return compare.with_family(out).persist()  # read several times by every comparison
 
 
 
