@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     earlier = F.when(F.col("band") > 0, F.exists(F.sequence(F.lit(0), F.col("band") - 1), lambda j: F.get("bands", j) == F.get("rbands", j))).otherwise(F.lit(False))
     apart = (F.col("c") != F.col("comp")) & (F.abs(F.col("d") - F.col("distance")) <= reach) & ratio(F.col("m"), F.col("n")) & (differing <= bits_allowed(percent)) & ~earlier
     inner = others.join(mixed.where("comp <> pcomp"), "bucket").where(apart & (F.col("r") < F.col("rep")))
-    outer = others.where(F.col("d") <= 2 * reach).join(mixed.where("comp = pcomp AND distance > 0"), "bucket").where(apart)
+    # "pcomp" is reached over chains, so its classes may be at any distance from the pivot; only "apart" tells pairs apart
+    outer = others.join(mixed.where("comp = pcomp AND distance > 0"), "bucket").where(apart)
     rest = inner.select("r", "rep").unionByName(outer.select("r", "rep")).select(F.greatest("r", "rep").alias("a"), F.least("r", "rep").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     rest = written(rest, "rest")
     more = written(_similar(rest, sets, percent).where("linked").select("a", "b"), "more")
