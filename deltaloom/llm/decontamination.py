@@ -9,7 +9,10 @@ alike is not. An item is in a document if consistent alignments hold at least CO
 A number is a word that begins with a digit, or a number word; a unit is a unit word after a number; a name is a
 capitalised word (A-Z, then not A-Z) within a sentence. A window needs literal words for more than half of it.
 
-Items of fewer than WIDTH words have one window of their own width if they have LEAST words; shorter ones and null
+All windows also meet exactly, on the lower-case words themselves: a verbatim copy is found whatever its words are, and in any case of letters.
+An item is found if its template windows or its exact windows reach COVERAGE, each of all windows of their sort.
+
+Items of fewer than WIDTH words have one window of their own width; those of fewer than LEAST words are only met exactly. Items without a word and null
 texts are never found. Documents are matched on their whole texts. Rows without a doc_id can't be reported. Repeated items and repeated rows
 of a document are each one item and one document. Empty tables give an empty result. Other columns are ignored.
 """
@@ -29,6 +32,15 @@ from .kernels import Texts, mix, windows
 
 WIDTH, LEAST = 8, 4
 COVERAGE = 0.4
+#: Added to the width in the hashes of exact windows.
+EXACT = 1 << 32
+
+
+def _sorts(width: int) -> tuple[bool, ...]:
+    """Whether exact, of each sort of windows of a width."""
+    return (False, True) if width >= LEAST else (True,)
+
+
 #: The join's smaller side is broadcast only if it has at most so many windows.
 MOST_BROADCAST = 200_000
 #: A fixed number of bits marks the hashes of all item windows; document windows without a mark never leave the task.
@@ -75,25 +87,29 @@ class Canonical:
         self.offsets = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=self.n))]).astype(np.int64)
         self.place = np.arange(len(at)) - self.offsets[self.text]
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """First words and hashes of windows within one text with literal words for more than half."""
+    def windows(self, width: int, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+        """First words and hashes of windows within one text: of all if exact, else of those with literal words for more than half."""
         n = len(self.word) - width + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        within = self.text[:n] == self.text[width - 1 :]
+        if exact:
+            first = np.flatnonzero(within)
+            return first, windows(self.value, width)[first] ^ mix(np.array([width + EXACT], np.uint64))[0]
         literal = np.concatenate([[0], np.cumsum(self.kind == 0)])
-        first = np.flatnonzero((self.text[:n] == self.text[width - 1 :]) & (2 * (literal[width:] - literal[:n]) > width))
+        first = np.flatnonzero(within & (2 * (literal[width:] - literal[:n]) > width))
         return first, windows(self.word, width)[first] ^ mix(np.array([width], np.uint64))[0]
 
-    def slots(self, first: np.ndarray, width: int) -> pa.Array:
-        """The slot values of windows, in order."""
-        places = np.flatnonzero(self.kind)
+    def slots(self, first: np.ndarray, width: int, exact: bool) -> pa.Array:
+        """The slot values of windows, in order; exact windows have none."""
+        places = np.flatnonzero(self.kind) if not exact else np.zeros(0, np.int64)
         a, b = np.searchsorted(places, first), np.searchsorted(places, first + width)
         flat = np.concatenate([places[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]) if len(first) else places[:0]
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(b - a)]), pa.int32()), pa.array(self.value[flat].view(np.int64)))
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item, pos, h, slots, n_windows, width of every window of every item."""
+    """item, pos, h, slots, n_windows (of its sort), width, exact of every window of every item."""
     wanted = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
     kind = wanted.schema["item"].dataType.simpleString()
 
@@ -103,16 +119,16 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for part in slices(batch, "text"):
                 canon = Canonical(part.column("text"))
                 size = np.diff(canon.offsets)
-                for width in sorted({min(WIDTH, n) for n in size.tolist() if n >= LEAST}):
-                    first, h = canon.windows(width)
+                for width, exact in ((w, e) for w in sorted({min(WIDTH, n) for n in size.tolist() if n}) for e in _sorts(w)):
+                    first, h = canon.windows(width, exact)
                     own = (size >= WIDTH) if width == WIDTH else (size == width)
                     use = own[canon.text[first]]
                     first, h = first[use], h[use]
                     total = np.bincount(canon.text[first], minlength=canon.n)
-                    cols = [part.column("item").take(pa.array(canon.text[first])), pa.array(canon.place[first]), pa.array(h.view(np.int64)), canon.slots(first, width), pa.array(total[canon.text[first]]), pa.array(np.full(len(first), width, np.int32))]
-                    yield pa.RecordBatch.from_arrays(cols, ["item", "pos", "h", "slots", "n_windows", "width"])
+                    cols = [part.column("item").take(pa.array(canon.text[first])), pa.array(canon.place[first]), pa.array(h.view(np.int64)), canon.slots(first, width, exact), pa.array(total[canon.text[first]]), pa.array(np.full(len(first), width, np.int32)), pa.array(np.full(len(first), exact))]
+                    yield pa.RecordBatch.from_arrays(cols, ["item", "pos", "h", "slots", "n_windows", "width", "exact"])
 
-    return wanted.mapInArrow(cut, f"item {kind}, pos long, h long, slots array<long>, n_windows long, width int")
+    return wanted.mapInArrow(cut, f"item {kind}, pos long, h long, slots array<long>, n_windows long, width int, exact boolean")
 
 
 def _marks(hashes: np.ndarray) -> np.ndarray:
@@ -132,13 +148,13 @@ def document_windows(docs: DataFrame, widths: list[int], marks: np.ndarray | Non
         for batch in batches:
             for part in slices(batch, "text"):
                 canon = Canonical(part.column("text"))
-                for width in widths:
-                    first, h = canon.windows(width)
+                for width, exact in ((w, e) for w in widths for e in _sorts(w)):
+                    first, h = canon.windows(width, exact)
                     if marks is not None and len(h):
                         place = h >> np.uint64(64 - MARK_BITS)
                         use = np.flatnonzero((marks[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
                         first, h = first[use], h[use]
-                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(canon.text[first])), pa.array(canon.place[first]), pa.array(h.view(np.int64)), canon.slots(first, width)], ["id", "pos", "h", "slots"])
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(canon.text[first])), pa.array(canon.place[first]), pa.array(h.view(np.int64)), canon.slots(first, width, exact)], ["id", "pos", "h", "slots"])
 
     return wanted.mapInArrow(cut, f"id {kind}, pos long, h long, slots array<long>")
 
@@ -152,17 +168,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         marks = _marks(np.array([r["h"] for r in items.select("h").distinct().collect()], np.int64).view(np.uint64))
         items = F.broadcast(items)
     found = document_windows(docs, sorted(widths), marks, id_col, text_col)
-    items = items.select("item", F.col("pos").alias("at"), "h", F.col("slots").alias("item_slots"), "n_windows", "width")
+    items = items.select("item", F.col("pos").alias("at"), "h", F.col("slots").alias("item_slots"), "n_windows", "exact")
     met = found.join(items, "h").where(F.size("slots") == F.size("item_slots"))
     # one alignment of a document and an item: its windows, and its distinct pairs of slot values
     pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")))))
-    lined = met.groupBy("id", "item", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("places"), F.first("n_windows").alias("total"), pairs.alias("pairs"))
+    lined = met.groupBy("id", "item", "exact", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("places"), F.first("n_windows").alias("total"), pairs.alias("pairs"))
     values = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda p: p[k])))
     names = lined.select("*", F.size("pairs").alias("n_slots"), F.size(F.filter("pairs", lambda p: p["b"] != p["d"])).alias("n_changed"), values("b").alias("nb"), values("d").alias("nd"))
     consistent = names.where("n_slots <= nb AND n_slots <= nd")
-    out = consistent.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"), F.max("total").alias("total"), F.max("n_slots").cast("long").alias("n_slots"), F.min("n_changed").cast("long").alias("n_changed"))
+    out = consistent.groupBy("id", "item", "exact").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"), F.max("total").alias("total"), F.max("n_slots").cast("long").alias("n_slots"), F.min("n_changed").cast("long").alias("n_changed"))
     share = F.col("n_windows") / F.col("total")
-    return out.where(share >= coverage).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", share.alias("coverage"), "n_slots", "n_changed")
+    # of two sorts that reach it, the template's figures
+    best = out.where(share >= coverage).groupBy("id", "item").agg(F.min(F.struct("exact", "n_windows", share.alias("coverage"), "n_slots", "n_changed")).alias("b"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.n_windows", "b.coverage", "b.n_slots", "b.n_changed")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:

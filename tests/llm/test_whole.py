@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from deltaloom.llm import minhash
+from deltaloom.llm import decontamination, minhash
 from test_documents import components_by_force
 
 
@@ -25,3 +25,11 @@ def test_chained_copies_stay_together(spark):
     source = spark.createDataFrame(list(enumerate(chained(25, 60, 100, 2))), "doc_id long, text string")
     want = components_by_force(source.collect(), 4)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(source, 4).collect()} == want
+
+
+def test_numbers_names_and_short_items_are_found(spark):
+    items = [(1, "What is 12 + 34 + 56 - 78 equal to?"), (2, "Yesterday Robert met Sandra and Michael near old Denver"), (3, "Gravity pulls downward")]
+    texts = [(1, items[0][1]), (2, items[1][1].lower()), (3, "They say GRAVITY pulls downward, always."), (4, "Gravity downward pulls nothing here. What is the sum equal to?")]
+    df = lambda rows, k: spark.createDataFrame(rows, f"{k} long, text string")
+    got = decontamination.contaminated(df([(i, f"Words before it. {t} Words after it.") for i, t in texts], "doc_id"), df(items, "item_id")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (2, 2), (3, 3)]
