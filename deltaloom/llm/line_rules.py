@@ -2,7 +2,7 @@
 
 A text is judged line by line: a line fails for its punctuation (too many symbols or exclamation marks for its
 words, or a short line that ends without any), as navigation (separators standing between few words), as
-boilerplate (a fixed phrase), or because it repeats an earlier line or, in many places, the word before. Failing lines are removed. A document that
+boilerplate (a fixed phrase in a line of at most PHRASE_LINE words, as running text has such phrases too), or because it repeats an earlier line or, in many places, the word before. Failing lines are removed. A document that
 loses too much of its words with them is rejected, as is one that fails the base rules on its whole text.
 
 Null and empty texts have no words and are rejected. Rows are judged each for itself, in one pass
@@ -31,6 +31,8 @@ SYMBOLS_PER_WORD, SHORT_LINE, SEPARATOR_SHARE = 0.5, 4, 3
 STUTTER_SHARE = 1 / 3
 #: A document is rejected if fewer than this percentage of its words remain.
 MIN_KEPT = 50
+#: Longest line, in words, that a phrase makes boilerplate.
+PHRASE_LINE = 20
 #: Two-word phrases of boilerplate lines.
 BOILERPLATE = (
     "licensed under", "all rights", "rights reserved", "privacy policy", "cookie policy", "use cookies", "uses cookies",
@@ -122,6 +124,7 @@ def judge(column: pa.Array, with_text: bool = True) -> tuple[dict[str, np.ndarra
     hit = hit[lines.of_word[hit] == lines.of_word[hit + 1]] if len(hit) else hit
     boilerplate = np.zeros(len(n), bool)
     boilerplate[lines.of_word[hit]] = True
+    boilerplate &= n <= PHRASE_LINE
     same = np.flatnonzero((words[1:] == words[:-1]) & (lines.of_word[1:] == lines.of_word[:-1])) + 1
     stutter = np.bincount(lines.of_word[same], minlength=len(n)) > STUTTER_SHARE * n
     failed = has & (punctuation | navigation | boilerplate | repeats | stutter)

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from deltaloom.llm import decontamination, minhash
+from deltaloom.llm import decontamination, line_rules, minhash
 from test_documents import components_by_force
 
 
@@ -33,3 +33,10 @@ def test_numbers_names_and_short_items_are_found(spark):
     df = lambda rows, k: spark.createDataFrame(rows, f"{k} long, text string")
     got = decontamination.contaminated(df([(i, f"Words before it. {t} Words after it.") for i, t in texts], "doc_id"), df(items, "item_id")).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_long_clean_lines_with_a_phrase_stay(spark):
+    clean = " ".join(f"word{i}" for i in range(30)) + " is good in terms of its words."
+    rows = [(1, clean), (2, f"{clean}\nAll rights reserved by nobody in particular.")]
+    got = {r["doc_id"]: r["text"] for r in line_rules.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: clean, 2: clean}
