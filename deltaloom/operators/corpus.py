@@ -28,6 +28,11 @@ def top_by(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
     return rows.orderBy(*order).limit(k)
 
 
+def most_anomalous(rows: DataFrame, k: int) -> DataFrame:
+    """By z; adapters without one have no place."""
+    return top_by(rows.where("max_robust_z IS NOT NULL"), [F.desc("max_robust_z"), F.asc("repo_id")], k)
+
+
 def structural_count(codes: Column) -> Column:
     return F.size(F.array_intersect(codes, F.array(*map(F.lit, RED_FLAGS))))
 

@@ -28,7 +28,7 @@ class Report:
 def aggregate(rows: DataFrame, top: int = 20) -> Report:
     """The corpus report of survey rows; each part is small, whatever the number of rows."""
     ok = rows.where("status = 'success'")
-    by_z = corpus.top_by(ok.where("max_robust_z IS NOT NULL"), [F.desc("max_robust_z"), F.asc("repo_id")], top)
+    by_z = corpus.most_anomalous(ok, top)
     z = grouped.percentiles(ok.withColumn("all", F.lit("all")), ["all"], "max_robust_z", corpus.PERCENTAGES)
     return Report(corpus.status_totals(rows), grouped.value_counts(ok, "action"), grouped.value_counts(ok, "level"), grouped.value_counts(ok, "base_family"), corpus.code_counts(ok, "reason_codes"), z, by_z, corpus.most_suspicious(ok, top))
 

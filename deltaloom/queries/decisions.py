@@ -370,7 +370,9 @@ def topk_suspicious_struct(spark, d):
 
 @query("topk_suspicious_z", "SELECT doc_id, n_chars FROM documents WHERE doc_id % 7 <> 0 ORDER BY n_chars DESC, doc_id LIMIT 20")
 def topk_suspicious_z(spark, d):
-    return corpus.top_by(table(spark, d, "documents").where("doc_id % 7 <> 0"), [F.desc("n_chars"), F.asc("doc_id")], 20).select("doc_id", "n_chars")
+    """Every seventh document has no z."""
+    z = table(spark, d, "documents").select(F.col("doc_id").alias("repo_id"), F.when(F.col("doc_id") % 7 != 0, F.col("n_chars")).alias("max_robust_z"))
+    return corpus.most_anomalous(z, 20).select(F.col("repo_id").alias("doc_id"), F.col("max_robust_z").alias("n_chars"))
 
 
 @query("structural_codes", f"SELECT doc_id, len(list_distinct(list_filter(codes, lambda c: c IN ('ROUTER_ADAPTED', 'RANK_MISMATCH', 'FULL_WEIGHT_REPLACEMENT', 'SIBLING_EXECUTABLE'))))::INTEGER AS n FROM {CODED_SQL} c")
