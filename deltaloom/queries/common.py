@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,13 @@ def values(spark: SparkSession, sql_rows: str, names: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {sql_rows} AS t({names})")
 
 
+def factors(v: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of A and of B from blocks of `size` vectors, so that all are used; the last block begins early enough to be full."""
+    starts = sorted({*range(0, len(v) - size + 1, size), max(len(v) - size, 0)})
+    parts = [v[i : i + size] for i in starts]
+    return [(p[: (len(p) + 1) // 2], p[len(p) // 2 :]) for p in parts]
+
+
 def r6(c) -> "F.Column":
     """Rounded to what both engines' sums agree on."""
     return F.round(c, 6)

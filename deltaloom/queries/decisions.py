@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import config, ids, stats
 from ..operators import corpus, evaluate, grouped, lowrank, profile, rules, state
 from ..sinks import reports
-from .common import SCORED_SQL, Input, query, r6, scored, table, values
+from .common import SCORED_SQL, Input, factors, query, r6, scored, table, values
 
 LINES = Input("lineitem", ("l_returnflag AS g", "l_extendedprice AS y", "l_quantity AS u", "l_discount AS v", "l_suppkey AS s", "l_orderkey AS o", "l_linenumber AS n"))
 
@@ -470,17 +470,20 @@ def spectrum(spark, d):
 
 def _module_rows(key, pdf: pd.DataFrame) -> pd.DataFrame:
     v = np.array(pdf.sort_values("vec_id")["embedding"].tolist(), np.float32)
-    a, b = v[:8], np.ascontiguousarray(v[8:16].T)
-    f = lowrank.features(lowrank.Update(a, b, 2.0), False, lowrank.DRAWN["full"])
-    return pd.DataFrame([{"label": key[0], **f, "n_heads": len(lowrank.heads(a, np.repeat(b, 4, axis=0), 1.0, "q_proj") or [])}])
+    out = []
+    for block, (a, b) in enumerate(factors(v, 16)):
+        b = np.ascontiguousarray(b.T)
+        f = lowrank.features(lowrank.Update(a, b, 2.0), False, lowrank.DRAWN["full"])
+        out.append({"label": key[0], "block": block, **f, "n_heads": len(lowrank.heads(a, np.repeat(b, 4, axis=0), 1.0, "q_proj") or [])})
+    return pd.DataFrame(out)
 
 
 @query("module_features")
 def module_features(spark, d):
-    """All twelve features of an update made of sixteen vectors of each label, and its heads; held against the explicit matrix in the tests."""
+    """All twelve features of updates made of blocks of sixteen vectors of each label, and their heads; held against the explicit matrix in the tests."""
     rows = table(spark, d, "embeddings").select("label", "vec_id", "embedding")
     kind = rows.schema["label"].dataType.simpleString()
-    return rows.groupBy("label").applyInPandas(_module_rows, f"label {kind}, {', '.join(f'{f} double' for f in stats.ALL_FEATURES)}, n_heads long")
+    return rows.groupBy("label").applyInPandas(_module_rows, f"label {kind}, block int, {', '.join(f'{f} double' for f in stats.ALL_FEATURES)}, n_heads long")
 
 
 @query("ledoit_wolf")

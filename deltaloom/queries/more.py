@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import config, ids, names, stats
 from ..operators import compare, corpus, evaluate, grouped, inventory, lowrank, profile, rules, state
 from ..sources import documents, listing, tensorfile
-from .common import SCORED_SQL, Z_SQL, Input, modules, query, r6, scored, table
+from .common import SCORED_SQL, Z_SQL, Input, factors, modules, query, r6, scored, table
 from .decisions import AUROC_SQL, CODED_SQL, EVENTS, LATEST_SQL, _coded, _events
 from .vectors import COINS, ORDERS
 
@@ -276,16 +276,16 @@ def sessions(spark, d):
 
 @query("head_features")
 def head_features(spark, d):
-    """Features of each head of a projection made of vectors of each label."""
+    """Features of each head of projections made of blocks of eight vectors of each label."""
     rows = table(spark, d, "embeddings").select("label", "vec_id", "embedding")
 
     def heads(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.array(pdf.sort_values("vec_id")["embedding"].tolist(), np.float32)[:12]
-        found = lowrank.heads(v[:4], np.tile(v[4:8].T, (4, 1)), 1.0, "q_proj") or []
-        return pd.DataFrame([{"label": key[0], **h} for h in found], columns=["label", "head", *stats.ALL_FEATURES])
+        v = np.array(pdf.sort_values("vec_id")["embedding"].tolist(), np.float32)
+        found = [{"label": key[0], "block": k, **h} for k, (a, b) in enumerate(factors(v, 8)) for h in lowrank.heads(a, np.tile(b.T, (4, 1)), 1.0, "q_proj") or []]
+        return pd.DataFrame(found, columns=["label", "block", "head", *stats.ALL_FEATURES])
 
     kind = rows.schema["label"].dataType.simpleString()
-    return rows.groupBy("label").applyInPandas(heads, f"label {kind}, head int, {', '.join(f'{f} double' for f in stats.ALL_FEATURES)}")
+    return rows.groupBy("label").applyInPandas(heads, f"label {kind}, block int, head int, {', '.join(f'{f} double' for f in stats.ALL_FEATURES)}")
 
 
 @query("scan_load_bf16", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 1) AS total FROM embeddings WHERE vec_id < 0")
