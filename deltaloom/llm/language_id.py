@@ -219,7 +219,9 @@ def predict(docs: DataFrame, model: Pairs | None, text_col: str = "text") -> Dat
 
 
 def known(docs: DataFrame, model: Pairs | None, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows whose language is known with at least min_score, as they are."""
+    """The rows whose language is known with at least min_score, as they are; without a model, those with a letter."""
+    if model is None:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
     out, hidden = _labelled(docs, model, text_col)
     good = out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
     return good.select(*(F.col(k).alias(c) for k, c in zip(hidden, docs.columns, strict=True)))

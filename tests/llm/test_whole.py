@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from deltaloom.llm import decontamination, line_rules, minhash
+from deltaloom.llm import decontamination, language_id, line_rules, minhash
 from test_documents import components_by_force
 
 
@@ -40,3 +40,8 @@ def test_long_clean_lines_with_a_phrase_stay(spark):
     rows = [(1, clean), (2, f"{clean}\nAll rights reserved by nobody in particular.")]
     got = {r["doc_id"]: r["text"] for r in line_rules.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: clean, 2: clean}
+
+
+def test_without_a_model_texts_with_a_letter_stay(spark):
+    rows = [(1, "clean text"), (2, "日本語"), (3, None), (4, ""), (5, "12 + 3")]
+    assert sorted(r["doc_id"] for r in language_id.known(spark.createDataFrame(rows, "doc_id long, text string"), None).collect()) == [1, 2]
