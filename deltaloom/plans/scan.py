@@ -81,7 +81,7 @@ def scan(paths: DataFrame, settings: Settings = Settings(), profiles: Profiles |
     c = F.col("config")
     scale = configs.scale(F.col("base"), F.col("rank"), c.isNotNull(), c["lora_alpha"], c["alpha_pattern"], c["rank_pattern"], F.coalesce(c["use_rslora"], F.lit(False)))
     sound = written(sound.withColumn("s", scale).select("*", F.col("s.scale").alias("scale"), F.col("s.unresolved").alias("unresolved")).drop("s", "config"), "pairs")
-    features = written(lowrank.module_features(sound, settings.mode, settings.include_heads), "features")
+    features = written(lowrank.module_features(sound, settings.include_heads), "features")
     modules = features.join(sound.select("path", "base", "location", "rank", "scale", "transposed", F.col("a.key").alias("a_key"), F.col("b.key").alias("b_key"), F.col("a.shape").alias("shape_a"), F.col("b.shape").alias("shape_b")), ["path", "base"])
     modules = written(compare.with_family(modules.select("*", "location.*").drop("location")), "modules")
     ok = modules.where("status = 'ok'")

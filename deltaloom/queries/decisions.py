@@ -473,7 +473,7 @@ def _module_rows(key, pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for block, (a, b) in enumerate(factors(v, 16)):
         b = np.ascontiguousarray(b.T)
-        f = lowrank.features(lowrank.Update(a, b, 2.0), False, lowrank.DRAWN["full"])
+        f = lowrank.features(lowrank.Update(a, b, 2.0))
         out.append({"label": key[0], "block": block, **f, "n_heads": len(lowrank.heads(a, np.repeat(b, 4, axis=0), 1.0, "q_proj") or [])})
     return pd.DataFrame(out)
 
