@@ -48,7 +48,11 @@ def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def robust_scale(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, med, scale: 1.4826 MAD, else 1.2533 mean absolute deviation, else 0."""
-    return spread(df, keys, value).select(*keys, "med", F.when(F.col("mad") > 0, MAD_TO_SIGMA * F.col("mad")).when(F.col("mean_ad") > 0, MEANAD_TO_SIGMA * F.col("mean_ad")).otherwise(F.lit(0.0)).alias("scale"))
+    return spread(df, keys, value).select(*keys, "med", scale_of(F.col("mad"), F.col("mean_ad")).alias("scale"))
+
+
+def scale_of(mad: Column, mean_ad: Column) -> Column:
+    return F.when(mad > 0, MAD_TO_SIGMA * mad).when(mean_ad > 0, MEANAD_TO_SIGMA * mean_ad).otherwise(F.lit(0.0))
 
 
 def robust_z(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -84,6 +88,17 @@ def dispersion(df: DataFrame, keys: list[str], value: str, least: int = MIN_FAMI
     return spread(df.where(F.col(value).isNotNull()).join(big.select(*keys), keys), keys, value).select(*keys, F.col("mad").alias("dispersion"))
 
 
+def let(value: Column, body) -> Column:
+    """body of the value, which is computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def array_median(xs: Column) -> Column:
+    """Of an array without nulls; null for an empty one."""
+    at = lambda s, k: F.get(s, F.floor(k / 2).cast("int"))
+    return let(F.sort_array(xs), lambda s: (at(s, F.size(s) - 1) + at(s, F.size(s))) / 2)
+
+
 def value_counts(df: DataFrame, value: str) -> DataFrame:
     return df.groupBy(F.coalesce(F.col(value).cast("string"), F.lit("unknown")).alias("value")).agg(F.count("*").alias("n"))
 

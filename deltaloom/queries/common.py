@@ -55,6 +55,32 @@ def factors(v: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(p[: (len(p) + 1) // 2], p[len(p) // 2 :]) for p in parts]
 
 
+#: Embeddings as factors A (4 x 8) and B (8 x 4) of small whole numbers, whose products are exact in both engines; and the 64 entries of B*A.
+_W = "floor(embedding[{0}]::DOUBLE * 32)"
+ENTRIES_SQL = f"(SELECT vec_id, label, i, j, list_sum(list_transform(range(0, 4), lambda k: {_W.format('33 + 4 * i + k')} * {_W.format('1 + 8 * k + j')})) AS w FROM embeddings, range(8) t(i), range(8) u(j))"
+FACTORS_SQL = f"(SELECT vec_id, k, j, {_W.format('1 + 8 * k + j')} AS a, {_W.format('33 + 4 * j + k')} AS b FROM embeddings, range(4) t(k), range(8) u(j))"
+
+
+def update_of(embedding) -> "lowrank.Update":
+    from ..operators import lowrank
+
+    v = np.floor(np.asarray(embedding, np.float64) * 32)
+    return lowrank.Update(v[:32].reshape(4, 8), v[32:].reshape(8, 4))
+
+
+def of_updates(df: DataFrame, columns: list[str], schema: str, rows) -> DataFrame:
+    """rows(batch row, update of its embedding) of each row of df, as the schema has it."""
+
+    def each(batches):
+        import pandas as pd
+
+        names = [x.split()[0] for x in schema.split(", ")]
+        for batch in batches:
+            yield pd.DataFrame([r for b in batch.itertuples(index=False) for r in rows(b, update_of(b.embedding))], columns=names)
+
+    return df.select(*columns, "embedding").mapInPandas(each, schema)
+
+
 def r6(c) -> "F.Column":
     """Rounded to what both engines' sums agree on."""
     return F.round(c, 6)
@@ -106,9 +132,11 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").withColumn("layer", (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).cast("int"))
     x = F.col("embedding")
     none = F.lit(None).cast("double")
-    own = {"log_rms": stats.log(stats.total(x, lambda v: F.abs(v))), "kurt_dw": stats.kurtosis(x), "row_hoyer": stats.hoyer(x), "row_top8": stats.top_share(x), "col_hoyer": stats.hoyer(F.slice(x, 1, 32))}
+    # the norms of the columns of a vector as a matrix of two rows
+    folded = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.sqrt(F.get(x, i).cast("double") * F.get(x, i) + F.get(x, i + 32).cast("double") * F.get(x, i + 32)))
+    own = {"log_rms": stats.log(stats.total(x, lambda v: F.abs(v))), "kurt_dw": stats.kurtosis(x), "row_hoyer": stats.hoyer(x), "row_top8": stats.top_share(x), "col_hoyer": stats.hoyer(folded)}
     out = e.select(F.lit("all").alias("path"), F.col("vec_id").cast("string").alias("base"), F.concat(F.lit("m"), F.col("label").cast("string")).alias("module"), F.lit("").alias("stack"), "layer", F.lit(None).cast("int").alias("expert"), F.when(F.col("label") % 2 == 0, "attention").otherwise("mlp").alias("kind"), stats.total(x, lambda v: F.abs(v)).alias("energy"), *(own.get(f, none).alias(f) for f in stats.ALL_FEATURES))
-    return compare.with_family(out).persist()  # read several times by every comparison
+    return compare.with_family(out)
 
 
 
@@ -118,7 +146,7 @@ SELECT vec_id, 'm' || label AS family, layer, CASE WHEN label % 2 = 0 THEN 'atte
   (sqrt(64) - l1 / sqrt(l2)) / (sqrt(64) - 1) AS row_hoyer,
   list_sum(list_reverse_sort(list_transform(x, lambda v: v * v))[1:8]) / l2 AS row_top8,
   (list_sum(list_transform(x, lambda v: pow(v - l0 / 64, 4))) / 64) / pow(list_sum(list_transform(x, lambda v: pow(v - l0 / 64, 2))) / 64, 2) AS kurt_dw,
-  (sqrt(32) - list_sum(list_transform(x[1:32], lambda v: abs(v))) / sqrt(list_sum(list_transform(x[1:32], lambda v: v * v)))) / (sqrt(32) - 1) AS col_hoyer
+  (sqrt(32) - list_sum(list_transform(range(1, 33), lambda i: sqrt(x[i] * x[i] + x[i + 32] * x[i + 32]))) / sqrt(l2)) / (sqrt(32) - 1) AS col_hoyer
 FROM (SELECT vec_id, label, layer, x, list_sum(x) AS l0, list_sum(list_transform(x, lambda v: abs(v))) AS l1, list_sum(list_transform(x, lambda v: v * v)) AS l2
   FROM (SELECT vec_id, label, layer, {_X} AS x FROM {EMBEDDED_SQL} e0) e1) e2)"""
 LONG_SQL = f"""(SELECT vec_id, family, layer, feature, raw, CASE WHEN feature IN ('kurt_dw', 'row_top8') THEN CASE WHEN raw > 0 THEN ln(raw) END ELSE raw END AS value

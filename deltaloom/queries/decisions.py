@@ -39,15 +39,15 @@ def robust_center(spark, d):
     return each.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(r6(F.median("v")).alias("mid"))
 
 
-MU, PREC = [0.1, -0.1, 0.0], [[2.0, 0.5, 0.0], [0.5, 1.0, -0.25], [0.0, -0.25, 3.0]]
+MU = [(i % 5 - 2) / 100 for i in range(64)]
+PREC = [[2.0 + i % 3 if i == j else 0.25 * (-1) ** min(i, j) if abs(i - j) == 1 else 0.0 for j in range(64)] for i in range(64)]
 DEV = [f"(embedding[{i + 1}]::DOUBLE - ({m}))" for i, m in enumerate(MU)]
-D2_SQL = "greatest(" + " + ".join(f"{DEV[i]} * {PREC[i][j]} * {DEV[j]}" for i in range(3) for j in range(3)) + ", 0)"
+D2_SQL = "greatest(" + " + ".join(f"{DEV[i]} * {PREC[i][j]} * {DEV[j]}" for i in range(64) for j in range(64) if PREC[i][j]) + ", 0)"
 
 
 @query("mahalanobis_sq", f"SELECT vec_id, round({D2_SQL}, 6) AS d2 FROM embeddings")
 def mahalanobis(spark, d):
-    v = F.slice(F.col("embedding").cast("array<double>"), 1, 3)
-    return table(spark, d, "embeddings").select("vec_id", r6(profile.distance(v, MU, PREC)).alias("d2"))
+    return table(spark, d, "embeddings").select("vec_id", r6(profile.distance(F.col("embedding").cast("array<double>"), MU, PREC)).alias("d2"))
 
 
 SCORES = Input("orders", ("o_orderkey AS k", "o_orderpriority AS family", "floor(o_totalprice / 100) AS d2", "o_orderkey % 3 = 0 AS is_ref"))
@@ -257,9 +257,9 @@ def anti_terminal(spark, d):
     return state.unfinished(e.select("request_id").distinct(), state.latest(e, order=("ts", "event_id")))
 
 
-@query("anti_completed", "SELECT c_custkey AS repo_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("anti_completed", "SELECT c_custkey AS repo_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def anti_completed(spark, d):
-    return corpus.not_done(table(spark, d, "customer").select(F.col("c_custkey").alias("repo_id")), table(spark, d, "orders").select(F.col("o_custkey").alias("repo_id")))
+    return corpus.not_done(table(spark, d, "customer").select(F.col("c_custkey").alias("repo_id")), table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("repo_id")))
 
 
 @query("queue_fetch", f"SELECT request_id AS adapter_path, event_id FROM {EVENTS.sql} e WHERE state = 'queued' ORDER BY request_id, event_id LIMIT 256")
@@ -488,11 +488,11 @@ def module_features(spark, d):
 
 @query("ledoit_wolf")
 def ledoit_wolf(spark, d):
-    """Shrinkage and precision of each label's first 18 coordinates."""
+    """Shrinkage of each label's vectors, and trace and condition of the shrunk covariance."""
     rows = table(spark, d, "embeddings").select("label", "vec_id", "embedding")
 
     def shrink(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf.sort_values("vec_id")["embedding"].tolist(), float)[:, :18]
+        x = np.array(pdf.sort_values("vec_id")["embedding"].tolist(), float)
         cov, rho = profile.ledoit_wolf(x)
         return pd.DataFrame({"label": [key[0]], "shrinkage": [rho], "trace": [np.trace(cov)], "condition": [np.linalg.cond(cov)]})
 

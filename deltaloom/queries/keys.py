@@ -231,12 +231,12 @@ def scan_identity(spark, d):
     return table(spark, d, "documents").select("doc_id", ids.hashed(F.col("text")).alias("content_hash"), F.octet_length("text").cast("long").alias("file_size_bytes"))
 
 
-SAFE = Input("documents", ("doc_id", "concat(left(text, 40), chr(9), 'x', chr(7), lang, chr(10), chr(8238)) AS t"))
+SAFE = Input("documents", ("doc_id", "concat(text, chr(9), 'x', chr(7), lang, chr(10), chr(8238)) AS t"))
 
 
-@query("safe_text", "SELECT doc_id, replace(replace(replace(replace(concat(left(text, 40), chr(9), 'x', chr(7), lang, chr(10), chr(8238)), chr(9), '\\x09'), chr(7), '\\x07'), chr(10), '\\x0a'), chr(8238), '\\u202e') AS t FROM documents")
+@query("safe_text", "SELECT doc_id, replace(replace(replace(replace(concat(text, chr(9), 'x', chr(7), lang, chr(10), chr(8238)), chr(9), '\\x09'), chr(7), '\\x07'), chr(10), '\\x0a'), chr(8238), '\\u202e') AS t FROM documents")
 def safe_text(spark, d):
-    t = F.concat(F.left("text", F.lit(40)), F.lit("\tx\x07"), "lang", F.lit("\n‮"))
+    t = F.concat(F.col("text"), F.lit("\tx\x07"), "lang", F.lit("\n‮"))
     return table(spark, d, "documents").select("doc_id", ids.safe_text(t).alias("t"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import config, ids, names, stats
 from ..operators import compare, corpus, evaluate, grouped, inventory, lowrank, profile, rules, state
 from ..sources import documents, listing, tensorfile
-from .common import SCORED_SQL, Z_SQL, Input, factors, modules, query, r6, scored, table
+from .common import ENTRIES_SQL, SCORED_SQL, Z_SQL, Input, factors, modules, of_updates, query, r6, scored, table, update_of
 from .decisions import AUROC_SQL, CODED_SQL, EVENTS, LATEST_SQL, _coded, _events
 from .vectors import COINS, ORDERS
 
@@ -71,11 +71,11 @@ def significant_sigma(spark, d):
     return e.select("vec_id", F.size(stats.significant(F.col("s"))).cast("long").alias("n"), r6(stats.log(F.get("s", F.lit(0)))).alias("log_sigma1"))
 
 
-@query("delta_inner", "SELECT a.vec_id AS a, round(list_dot_product(a.x, b.x), 6) AS inner_product FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings) a JOIN (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings) b ON b.vec_id = a.vec_id + 1")
+@query("delta_inner", f"SELECT x.vec_id AS a, round(sum(x.w * y.w), 6) AS inner_product FROM {ENTRIES_SQL} x JOIN {ENTRIES_SQL} y ON y.vec_id = x.vec_id + 1 AND x.i = y.i AND x.j = y.j GROUP BY ALL")
 def delta_inner(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
-    return e.join(b, "vec_id").select(F.col("vec_id").alias("a"), r6(stats.total(F.zip_with("x", "y", lambda p, q: p * q))).alias("inner_product"))
+    e = table(spark, d, "embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return of_updates(e.join(b, "vec_id"), ["vec_id", "other"], "a long, inner_product double", lambda r, u: [(r.vec_id, u.inner(update_of(r.other)))]).select("a", r6("inner_product").alias("inner_product"))
 
 
 @query("win_rank_gini", f"SELECT g, k, row_number() OVER (PARTITION BY g ORDER BY v, k)::INTEGER AS i FROM {COINS.sql} c")
@@ -106,9 +106,9 @@ def topk_tokens(spark, d):
     return grouped.top_rows(e, ["label"], [F.desc("e"), F.desc("pos")], 10).select("label", "pos", "rank")
 
 
-@query("token_delta_concentration", "SELECT label, round((sqrt(count(*)) - sum(n) / sqrt(sum(n * n))) / (sqrt(count(*)) - 1), 6) AS hoyer, count(*) AS n_tokens FROM (SELECT label, sqrt(list_sum(list_transform(embedding[1:8], lambda v: v::DOUBLE * v::DOUBLE))) AS n FROM embeddings) t GROUP BY label")
+@query("token_delta_concentration", "SELECT label, round((sqrt(count(*)) - sum(n) / sqrt(sum(n * n))) / (sqrt(count(*)) - 1), 6) AS hoyer, count(*) AS n_tokens FROM (SELECT label, sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))) AS n FROM embeddings) t GROUP BY label")
 def token_delta(spark, d):
-    rows = table(spark, d, "embeddings").select("label", F.sqrt(stats.total(F.slice("embedding", 1, 8), lambda v: v * v)).alias("n"))
+    rows = table(spark, d, "embeddings").select("label", F.sqrt(stats.total(F.col("embedding"), lambda v: v * v)).alias("n"))
     h = grouped.hoyer(rows, ["label"], "n")
     return h.join(rows.groupBy("label").agg(F.count("*").alias("n_tokens")), "label").select("label", r6("hoyer").alias("hoyer"), "n_tokens")
 
@@ -178,12 +178,12 @@ def record_flatten(spark, d):
     return c.select("doc_id", F.array_join(F.slice("codes", 1, 5), ",").alias("titles"), F.size("codes").alias("n"))
 
 
-@query("report_text", "SELECT scan_id, string_agg(severity, ',' ORDER BY array_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'], severity), event_id) AS severities FROM (SELECT user_id AS scan_id, event_id, CASE event_type WHEN 'click' THEN 'LOW' WHEN 'view' THEN 'MEDIUM' WHEN 'purchase' THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM events WHERE event_id < 2000) t GROUP BY scan_id")
+@query("report_text", "SELECT scan_id, string_agg(severity, ',' ORDER BY array_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'], severity), event_id) AS severities FROM (SELECT user_id AS scan_id, event_id, CASE event_type WHEN 'click' THEN 'LOW' WHEN 'view' THEN 'MEDIUM' WHEN 'purchase' THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM events) t GROUP BY scan_id")
 def report_text(spark, d):
     """The order in which a report lists findings."""
     from ..sinks import reports
 
-    e = table(spark, d, "events").where("event_id < 2000")
+    e = table(spark, d, "events")
     sev = F.when(F.col("event_type") == "click", "LOW").when(F.col("event_type") == "view", "MEDIUM").when(F.col("event_type") == "purchase", "HIGH").otherwise("CRITICAL")
     f = e.groupBy(F.col("user_id").alias("scan_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", sev.alias("severity")))), lambda x: x).alias("f"))
     return f.select("scan_id", F.array_join(F.transform(reports.by_severity(F.col("f")), lambda x: x["severity"]), ",").alias("severities"))
@@ -196,14 +196,15 @@ def rules_combined(spark, d):
     return rules.combined(r).select("doc_id", F.col("policy_gate.behavioural_stage").alias("behavioural_stage"), "final_action")
 
 
-@query("rules_failure", "SELECT doc_id, 'failed' AS status, 'review' AS action FROM documents WHERE doc_id % 4 = 0")
+@query("rules_failure", "SELECT doc_id, CASE WHEN n_chars % 4 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN n_chars % 4 = 0 THEN 'review' ELSE 'allow' END AS action FROM documents")
 def rules_failure(spark, d):
-    """A file that can't be parsed is reviewed, whatever else is known of it."""
+    """A file that can't be parsed is reviewed, whatever else is known of it; one without a finding is allowed."""
     c = F.lit
+    failed = F.col("n_chars") % 4 == 0
     none = F.array().cast("array<string>")
     ref = c(None).cast("struct<p_value:double,alpha_review:double,alpha_block:double,n_reference:int>")
-    v = rules.verdict({"status": c("failed"), "policy": c("default"), "intra": c(None).cast("struct<max_concentration_z:double>"), "reference": ref, "red_flags": none, "metadata_present": c(True), "limits": none, "n_not": c(0), "top_edge": c(False), "failure_code": c("PARSE_FAILED"), "failure_message": c("x")})
-    return table(spark, d, "documents").where("doc_id % 4 = 0").select("doc_id", c("failed").alias("status"), v["action"].alias("action"))
+    v = rules.verdict({"status": F.when(failed, "failed").otherwise("ok"), "policy": c("default"), "intra": c(None).cast("struct<max_concentration_z:double>"), "reference": ref, "red_flags": none, "metadata_present": c(True), "limits": none, "n_not": c(0), "top_edge": c(False), "failure_code": F.when(failed, "PARSE_FAILED"), "failure_message": F.when(failed, "x")})
+    return table(spark, d, "documents").select("doc_id", F.when(failed, "failed").otherwise("ok").alias("status"), v["action"].alias("action"))
 
 
 @query("scan_config", "SELECT d.doc_id, p.url AS config FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id")
@@ -288,19 +289,18 @@ def head_features(spark, d):
     return rows.groupBy("label").applyInPandas(heads, f"label {kind}, block int, head int, {', '.join(f'{f} double' for f in stats.ALL_FEATURES)}")
 
 
-@query("scan_load_bf16", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 1) AS total FROM embeddings WHERE vec_id < 0")
+@query("scan_load_bf16", "SELECT vec_id, list_sum(list_transform(embedding, lambda v: floor(v::DOUBLE * 256))) AS total, list_sum(list_transform(range(1, 65), lambda i: i * floor(embedding[i]::DOUBLE * 256))) AS placed FROM embeddings")
 def bf16(spark, d):
-    """Vectors cut to 16 bits and read again differ by less than their last bit."""
+    """Whole numbers of eight bits, which 16 bits hold exactly, encoded and decoded: their sum, and their sum by place."""
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
 
     def cut(batches):
         for b in batches:
-            x = [np.asarray(v, np.float32) for v in b["embedding"]]
-            back = [tensorfile.decode((v.view(np.uint32) >> 16).astype("<u2").tobytes(), "BF16", list(v.shape)) for v in x]
-            bad = [bool((np.abs(p - q) > np.abs(p) / 128).any()) for p, q in zip(x, back, strict=True)]
-            yield pd.DataFrame({"vec_id": b["vec_id"], "total": [float(v.sum()) for v in x]})[bad]
+            x = [np.floor(np.asarray(v, np.float64) * 256).astype(np.float32) for v in b["embedding"]]
+            back = [tensorfile.decode((v.view(np.uint32) >> 16).astype("<u2").tobytes(), "BF16", list(v.shape)).astype(float) for v in x]
+            yield pd.DataFrame({"vec_id": b["vec_id"], "total": [v.sum() for v in back], "placed": [(v * np.arange(1, len(v) + 1)).sum() for v in back]})
 
-    return rows.mapInPandas(cut, "vec_id long, total double")
+    return rows.mapInPandas(cut, "vec_id long, total double, placed double")
 
 
 @query("normalise_peft_type", "SELECT p_partkey AS n, nullif(replace(upper(trim(p_name)), '-', '_'), '') AS t FROM part")

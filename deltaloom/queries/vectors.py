@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import compare, grouped
-from .common import EMBEDDED_SQL, LONG_SQL, MODULES_SQL, Z_SQL, Input, modules, query, r6, table
+from .common import EMBEDDED_SQL, ENTRIES_SQL, FACTORS_SQL, LONG_SQL, MODULES_SQL, Z_SQL, Input, modules, of_updates, query, r6, table, update_of
 
 COINS = Input("customer", ("c_custkey AS k", "c_mktsegment AS g", "abs(c_acctbal) AS v"))
 ORDERS = Input("orders", ("o_custkey AS g", "o_orderkey AS k", "o_totalprice AS v"))
@@ -26,11 +26,10 @@ def top_k_share(spark, d):
     return grouped.top_share(ORDERS.df(spark, d), ["g"], "v").select("g", r6("top_share").alias("top_share"))
 
 
-@query("kurt_dw", "SELECT label, round(kurtosis_pop(v) + 3, 6) AS kurtosis FROM (SELECT label, unnest(embedding)::DOUBLE AS v FROM embeddings) t GROUP BY label")
+@query("kurt_dw", f"SELECT vec_id, round(kurtosis_pop(w) + 3, 6) AS kurtosis FROM {ENTRIES_SQL} e GROUP BY vec_id HAVING var_pop(w) > 0")
 def kurt(spark, d):
-    """The exact form; the drawn estimate is held against it in the tests."""
-    v = table(spark, d, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("v"))
-    return v.groupBy("label").agg(r6(F.kurtosis("v") + 3).alias("kurtosis"))
+    got = of_updates(table(spark, d, "embeddings"), ["vec_id"], "vec_id long, kurtosis double", lambda r, u: [(r.vec_id, u.kurtosis())])
+    return got.where("kurtosis IS NOT NULL").select("vec_id", r6("kurtosis").alias("kurtosis"))
 
 
 @query("vector_features", f"SELECT vec_id, round(log_rms, 6) AS log_rms, round(kurt_dw, 6) AS kurt_dw, round(row_hoyer, 6) AS row_hoyer, round(row_top8, 6) AS row_top8, round(col_hoyer, 6) AS col_hoyer FROM {MODULES_SQL} m")
@@ -38,27 +37,28 @@ def vector_features(spark, d):
     return modules(spark, d).select(F.col("base").cast("long").alias("vec_id"), *(r6(f).alias(f) for f in ("log_rms", "kurt_dw", "row_hoyer", "row_top8", "col_hoyer")))
 
 
-@query("row_norms", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))), 6) AS norm FROM embeddings")
+@query("row_norms", f"SELECT vec_id, i AS pos, round(sqrt(sum(w * w)), 6) AS norm FROM {ENTRIES_SQL} e GROUP BY vec_id, i")
 def row_norms(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", r6(F.sqrt(stats.total(F.col("embedding"), lambda v: v * v))).alias("norm"))
+    got = of_updates(table(spark, d, "embeddings"), ["vec_id"], "vec_id long, pos long, norm double", lambda r, u: [(r.vec_id, i, x) for i, x in enumerate(u.row_norms())])
+    return got.select("vec_id", "pos", r6("norm").alias("norm"))
 
 
-@query("col_norms", "SELECT label, pos, round(sqrt(sum(v * v)), 6) AS norm FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) t GROUP BY ALL")
+@query("col_norms", f"SELECT vec_id, j AS pos, round(sqrt(sum(w * w)), 6) AS norm FROM {ENTRIES_SQL} e GROUP BY vec_id, j")
 def col_norms(spark, d):
-    each = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
-    return each.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(r6(F.sqrt(F.sum(F.col("v") * F.col("v")))).alias("norm"))
+    got = of_updates(table(spark, d, "embeddings"), ["vec_id"], "vec_id long, pos long, norm double", lambda r, u: [(r.vec_id, i, x) for i, x in enumerate(u.col_norms())])
+    return got.select("vec_id", "pos", r6("norm").alias("norm"))
 
 
-@query("gram", "SELECT label, i, j, round(sum(x * y), 6) AS g FROM (SELECT label, i, j, embedding[i + 1]::DOUBLE AS x, embedding[j + 1]::DOUBLE AS y FROM embeddings, range(8) t(i), range(8) u(j)) t GROUP BY ALL")
+@query("gram", f"SELECT x.vec_id, x.k AS i, y.k AS j, sum(x.a * y.a) AS gram_a, sum(x.b * y.b) AS gram_b FROM {FACTORS_SQL} x JOIN {FACTORS_SQL} y ON x.vec_id = y.vec_id AND x.j = y.j GROUP BY ALL")
 def gram(spark, d):
-    """The Gram matrix of the first eight columns of each label, row by row: no self-join."""
-    cells = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), (F.get("embedding", i).cast("double") * F.get("embedding", j).cast("double")).alias("p")))))
-    return table(spark, d, "embeddings").select("label", F.inline(cells)).groupBy("label", "i", "j").agg(r6(F.sum("p")).alias("g"))
+    """The Gram matrices of both factors of each update."""
+    cells = lambda r, u: [(r.vec_id, i, j, u.gram_a[i, j], u.gram_b[i, j]) for i in range(u.rank) for j in range(u.rank)]
+    return of_updates(table(spark, d, "embeddings"), ["vec_id"], "vec_id long, i long, j long, gram_a double, gram_b double", cells)
 
 
-@query("fro_norm", "SELECT label, round(sqrt(sum(v * v)), 6) AS fro FROM (SELECT label, unnest(embedding)::DOUBLE AS v FROM embeddings) t GROUP BY label")
+@query("fro_norm", f"SELECT vec_id, round(sqrt(sum(w * w)), 6) AS fro FROM {ENTRIES_SQL} e GROUP BY vec_id")
 def fro_norm(spark, d):
-    return table(spark, d, "embeddings").groupBy("label").agg(r6(F.sqrt(F.sum(stats.total(F.col("embedding"), lambda v: v * v)))).alias("fro"))
+    return of_updates(table(spark, d, "embeddings"), ["vec_id"], "vec_id long, fro double", lambda r, u: [(r.vec_id, u.norm())]).select("vec_id", r6("fro").alias("fro"))
 
 
 SIGMA = Input("embeddings", ("vec_id", "embedding"))
@@ -77,14 +77,15 @@ def spectral(spark, d):
     return s.select("vec_id", r6(stats.top1_energy(c)).alias("top1_e"), r6(stats.stable_rank_share(c)).alias("srank_r"), r6(stats.participation_share(c)).alias("pr_r"), r6(stats.spectral_entropy(c)).alias("spec_h"), r6(stats.excess_concentration(c, n, n)).alias("excess_conc"), F.size(stats.significant(c)).cast("long").alias("n_significant"))
 
 
-@query("delta_cosine", """
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))), 6) AS cosine
-FROM (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings) a JOIN (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings) b ON a.label = b.label AND b.vec_id = a.vec_id + 1""")
+@query("delta_cosine", f"""
+SELECT x.vec_id AS a, y.vec_id AS b, round(sum(x.w * y.w) / (sqrt(sum(x.w * x.w)) * sqrt(sum(y.w * y.w))), 6) AS cosine
+FROM {ENTRIES_SQL} x JOIN {ENTRIES_SQL} y ON x.label = y.label AND y.vec_id = x.vec_id + 1 AND x.i = y.i AND x.j = y.j GROUP BY ALL HAVING sum(x.w * x.w) * sum(y.w * y.w) > 0""")
 def delta_cosine(spark, d):
     """Updates of one family that follow each other."""
     e = table(spark, d, "embeddings")
-    b = e.select("label", (F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return e.join(b, ["label", "vec_id"]).select(F.col("vec_id").alias("a"), "b", r6(stats.vector_cosine(F.col("embedding"), F.col("y"))).alias("cosine"))
+    b = e.select("label", (F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("b"), F.col("embedding").alias("other"))
+    got = of_updates(e.join(b, ["label", "vec_id"]), ["vec_id", "b", "other"], "a long, b long, cosine double", lambda r, u: [(r.vec_id, r.b, u.cosine(update_of(r.other)))])
+    return got.where("cosine IS NOT NULL").select("a", "b", r6("cosine").alias("cosine"))
 
 
 @query("feature_transform", f"SELECT vec_id, feature, round(value, 6) AS value FROM {LONG_SQL} l")
