@@ -6,8 +6,9 @@ down, all pieces of a length are put into the packs with the most room, a pack b
 and a count is split where only some of its packs get a piece. Pieces then find their sequence by rank among
 those of their length.
 
-A null text is an empty one: its piece is the end id alone. Repeated rows are packed each for itself. An empty table
-gives an empty result. Columns other than the two named are dropped.
+A null text is an empty one: its piece is the end id alone. Repeated rows are packed each for itself, and rows with null ids too. An empty table
+gives an empty result. Columns other than the two named are dropped, so no name can clash. Pieces that tie in all their figures are alike, and
+either may take the other's place. A very long text is encoded in segments; its ids are held as a whole.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .common import slices, table, written
 from .tokens import KEPT, encoder
 
 LIMIT = 2048
-#: Rows of one length that are ranked together; a crowded length is split into as many groups as this needs.
-RANKED_TOGETHER = 20_000
+#: Groups in which the pieces of a length are ranked, by a hash: a third of all pieces may have one length.
+SALTS = 1024
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, kept: int = KEPT) -> DataFrame:
@@ -116,11 +117,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     """pieces with sequence_id and offset. The pieces must be a written table: they are read three times."""
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     slots = placement(shortest_pack_first(counts, limit))
-    crowded = {k: -(-n // RANKED_TOGETHER) for k, n in counts.items() if n > RANKED_TOGETHER}
-    groups = F.lit(1)
-    if crowded:
-        groups = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in crowded.items() for x in kv)), F.col("length").cast("int")), F.lit(1))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "start", "ids_crc32"), groups.cast("long")))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(SALTS)))
     sizes = salted.groupBy("length", "salt").count()
     before = sizes.select("length", "salt", (F.sum("count").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, 0)) - F.col("count")).alias("before"))
     in_group = F.row_number().over(W.partitionBy("length", "salt").orderBy("id", "start", "ids_crc32", "doc_tokens")) - 1

@@ -5,7 +5,7 @@ are whole. In a text, a pre-token that is whole counts as one without any mergin
 by the library, and each such pre-token once in a while.
 
 Null and empty texts have no bytes and no tokens. Repeated rows are counted each for itself, an empty table
-gives an empty one, and columns other than the two named are dropped, so that no name can clash.
+gives an empty one, and columns other than the two named are dropped, so that no name can clash. A very long text is counted in segments.
 """
 
 from __future__ import annotations

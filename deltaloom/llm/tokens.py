@@ -1,14 +1,16 @@
 """Token ids of whole texts, as the tokenizers library gives them, with the ids of frequent chunks kept.
 
-Both vocabularies cut a text into pre-tokens that never cross a chunk: a run of non-white characters,
+Both vocabularies cut a text into pre-tokens that never cross a chunk: a run of characters that are not white space,
 for the byte-level one with the single space before it. So the ids of a text are those of its chunks,
-one after another, and the library needs to see each chunk only once in a while. This is proven for
-the characters up to U+00FF, whose classes, case and composition no Unicode version has changed; a text with
-any other character, or with an added token in it, goes through the library as a whole.
+one after another, and the library needs to see each chunk only once in a while. Chunks of characters up to U+00FF and of
+general punctuation, whose classes, case and composition no Unicode version has changed, are cut into pre-tokens here;
+a chunk with any other character is encoded by the library as it stands. A text with white space beyond U+00FF or with an added token in
+it goes through the library as a whole. Long texts are worked on in segments that end where a chunk does.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Callable
@@ -18,6 +20,10 @@ import regex
 
 #: White space up to U+00FF in the library's patterns.
 _WHITE = r"\t-\r \x85\xa0"
+#: White space beyond U+00FF, with what some versions of Unicode count as such.
+FAR_WHITE = re.compile("[\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Characters that are cut by the library alone.
+FOREIGN = re.compile("[^\x00-\xff\u2010-\u2027\u2030-\u205e]")
 #: Of the word-level and the byte-level vocabulary: fixed values, the patterns by which their pre-tokens are cut.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -25,6 +31,8 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 KEPT = 1_200_000
 #: A longer chunk is not kept.
 LONGEST = 40
+#: Characters of a text that are worked on at a time.
+SEGMENT = 1 << 20
 
 
 def vocabulary(name: str) -> str:
@@ -54,7 +62,8 @@ class Encoder:
         words = self.lower and "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in pattern.replace("\\\\", "\\")
         bytewise = normal is None and "ByteLevel(add_prefix_space=False" in pattern and "use_regex=True" in pattern and "Sequence" not in pattern
         self.chunk = re.compile(rf"[^{_WHITE}]+" if words else rf" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-        self.odd = re.compile("|".join([r"[^\x00-\xff]", *map(re.escape, added)])) if words or bytewise else re.compile("")
+        self.added = added if words or bytewise else None  # a text with one of these goes whole; None: all texts do
+        self.edge = re.compile(rf"(?<=[^{_WHITE}])(?=[{_WHITE}])")
         # In a run of chunks, each has one token that ends (or, with a space before it, starts) a word: there the run's ids are cut.
         mark, self.at_end = ("</w>", True) if words else ("\u0120", False)
         self.marked = np.zeros(self.library.get_vocab_size(True), bool)
@@ -101,7 +110,7 @@ class Encoder:
 
     def values(self, chunks: list[str]) -> dict[str, object]:
         """The values of new chunks, and of new pre-tokens in them."""
-        cut = {x: self.pretokens(x) for x in chunks if not x.isalpha()}
+        cut = {x: self.pretokens(x) for x in chunks if not x.isalpha() and not FOREIGN.search(x)}
         kept = self.kept
         needed = {p for c in cut.values() for p in c if p not in kept}
         needed.update(x for x in chunks if x not in cut)
@@ -113,15 +122,30 @@ class Encoder:
 
     def chunks(self, text: str) -> list[str] | None:
         """None if the text must go through the library as a whole."""
-        if self.odd.search(text):
+        if self.added is None or any(x in text for x in self.added):
             return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            if FAR_WHITE.search(text):
+                return None
+            found = self.chunk.findall(text)  # the library folds the case of foreign chunks itself
+            return [x if x.isascii() is False and FOREIGN.search(x) else x.lower() for x in found] if self.lower else found
         return self.chunk.findall(text.lower() if self.lower else text)
 
+    def segments(self, text: str) -> list[str]:
+        """The text in parts that end where a chunk does, of about SEGMENT characters."""
+        cuts = [0]
+        while len(text) - cuts[-1] > SEGMENT and (edge := self.edge.search(text, cuts[-1] + SEGMENT)):
+            cuts.append(edge.start())
+        return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
     def learn(self, new: set[str]) -> dict[str, object]:
         """The values of chunks that are not kept; as many as there is room for are kept from now on."""
         found = self.values(list(new))
-        if len(self.kept) < self.most:
-            self.kept.update(found if max(map(len, found)) <= LONGEST else {k: v for k, v in found.items() if len(k) <= LONGEST})
+        room = self.most - len(self.kept)
+        if room > 0:
+            self.kept.update(itertools.islice(((k, v) for k, v in found.items() if len(k) <= LONGEST), room))
         else:
             self.missed += len(found)
             if self.missed > 8 * self.most:  # other words are frequent by now
@@ -129,7 +153,13 @@ class Encoder:
         return found
 
     def each(self, texts: list[str | None], of: Callable[[list[object]], object], whole: Callable[[list[int]], object]) -> list[object]:
-        """of(values of its chunks) for each text, or whole(ids)."""
+        """of(values of its chunks) for each text, or whole(ids). of must take the values of parts, too."""
+        long = {i: x for i, x in enumerate(texts) if x and len(x) > SEGMENT and self.chunks(x[:1]) is not None and not any(t in x for t in self.added) and not FAR_WHITE.search(x)}
+        if long:
+            parts = {i: of([self.each([y], of, whole)[0] for y in self.segments(x)]) for i, x in long.items() if self.edge.search(x, SEGMENT)}
+            rest = iter(self.each([None if i in parts else x for i, x in enumerate(texts)], of, whole)) if parts else None
+            if rest is not None:
+                return [parts.get(i, v) for i, v in enumerate(rest)]
         cut = [self.chunks(x) if x else [] for x in texts]
         get = self.kept.get
         got = [None if c is None else list(map(get, c)) for c in cut]

@@ -1,5 +1,6 @@
 """Token counts, blocks and packing against the tokenizers library."""
 
+import functools
 import zlib
 
 import numpy as np
@@ -15,6 +16,7 @@ TEXTS = [None, "", " ", "\n", "a  b\n\n c\t\td's 'S can't I'LL\xa0x \x1cfoo\x1d
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
+@functools.cache
 def library(name):
     return Tokenizer.from_file(vocabulary(name))
 
@@ -49,6 +51,34 @@ def test_any_latin_text(pair, text):
     assert counter.count_all([text]) == [len(want)]
 
 
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t'sSdDxX.,é’“”—…\u2009\u3000\u200bжЖΣσ日́")), max_size=40))
+def test_any_text(pair, text):
+    encoder, counter, lib = pair
+    want = lib.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode_all([text])[0], "<u4").tolist() == want
+    assert counter.count_all([text]) == [len(want)]
+
+
+def test_long_texts_in_segments(pair, monkeypatch):
+    from deltaloom.llm import tokens
+
+    encoder, counter, lib = pair
+    text = "The quick  brown\n\n fox, l’été — жук.\t" * 300
+    monkeypatch.setattr(tokens, "SEGMENT", 50)
+    for x in (text, "x" * 200, "x" * 120 + " y", text + "<|endoftext|>"):
+        want = lib.encode(x, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode_all(["a", x, None])[1], "<u4").tolist() == want
+        assert counter.count_all([x, "a"])[0] == len(want)
+    assert len(encoder.segments(text)) > 100
+
+
+def test_what_is_kept_has_a_bound():
+    encoder = Encoder(WORDS, 10)
+    encoder.encode_all([" ".join(f"w{i}" for i in range(50))])
+    assert len(encoder.kept) == 10
+
+
 def test_whole_tokens_are_proven():
     counter = token_counts.TokenCounter(WORDS)
     assert len(counter.proven) > 20_000 and "the" in counter.proven
@@ -134,7 +164,7 @@ def check_packed(rows, texts, limit=2048):
 
 def test_packing(spark, monkeypatch):
     texts = [*TEXTS, *("w " * n for n in range(1, 60)), *["same text"] * 50]
-    monkeypatch.setattr(packing, "RANKED_TOGETHER", 10)
+    monkeypatch.setattr(packing, "SALTS", 7)
     packed = packing.pack_documents(frame(spark, texts).repartition(4), BYTES, 1, with_ids=True)
     rows = packed.collect()
     check_packed(rows, texts)
