@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+#: Bytes whose running hash sums exist at a time.
+HASH_BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -101,13 +103,26 @@ class Texts:
         self.word_offsets = np.concatenate([[0], np.cumsum(self.n_words)])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-        """A hash of each span of bytes; equal for equal bytes wherever they stand."""
-        n = len(self.buf)
-        power = powers(_BASE, n + 1)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(_byte_values(lower)[self.buf] * power[:n], out=total[1:])
-        back = powers(pow(_BASE, -1, 1 << 64), n + 1)
-        return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(U64))
+        """A hash of each span of bytes; equal for equal bytes wherever they stand.
+
+        The running sums come block by block and are kept at the spans' edges only, so a long text takes no more memory than a block does.
+        """
+        n, step = len(self.buf), min(HASH_BLOCK, len(self.buf) + 1)
+        power, back = powers(_BASE, step + 1), powers(pow(_BASE, -1, 1 << 64), step + 1)
+        first, last, shift = (np.zeros(len(starts), U64) for _ in range(3))
+        total, scale, inverse = U64(0), U64(1), U64(1)
+        one = n < step
+        for at in range(0, n + 1, step):
+            part = self.buf[at : at + step]
+            sums = np.zeros(len(part) + 1, U64)
+            np.cumsum(_byte_values(lower)[part] * power[: len(part)], out=sums[1:])
+            sums = sums * scale + total
+            here = slice(None) if one else np.flatnonzero((starts >= at) & (starts < at + step))
+            first[here], shift[here] = sums[starts[here] - at], back[starts[here] - at] * inverse
+            here = slice(None) if one else np.flatnonzero((ends >= at) & (ends < at + step))
+            last[here] = sums[ends[here] - at]
+            total, scale, inverse = sums[-1], scale * power[step], inverse * back[step]
+        return mix((last - first) * shift + (ends - starts).astype(U64))
 
     def word_hashes(self, lower: bool = False) -> np.ndarray:
         return self.hashes(self.starts, self.ends, lower)
@@ -125,8 +140,16 @@ class Texts:
 
     def count(self, flags: np.ndarray) -> np.ndarray:
         """Flagged bytes of each text."""
-        total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+        return runs(flags, self.offsets[:-1], self.offsets[1:] - self.offsets[:-1])
+
+
+def runs(flags: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of flags over neighbouring runs that begin at starts; what stands between two runs must not be flagged."""
+    out = np.zeros(len(starts), np.int64)
+    some = np.flatnonzero(sizes > 0)
+    if len(some):
+        out[some] = np.add.reduceat(flags.view(np.uint8), starts[some], dtype=np.int64)
+    return out
 
 
 def windows(words: np.ndarray, width: int) -> np.ndarray:

@@ -5,8 +5,9 @@ words, or a short line that ends without any), as navigation (separators standin
 boilerplate (a fixed phrase in a line of at most PHRASE_LINE words, as running text has such phrases too), or because it repeats an earlier line or, in many places, the word before. Failing lines are removed. A document that
 loses too much of its words with them is rejected, as is one that fails the base rules on its whole text.
 
-Null and empty texts have no words and are rejected. Rows are judged each for itself, in one pass
-without a shuffle; an empty table gives an empty one. Only the two named columns are read.
+Null and empty texts have no words and are rejected. Rows are judged each for itself, repeated ones alike, in one pass
+without a shuffle; an empty table gives an empty one. Only the two named columns are read, so no name can clash; `cleaned` keeps all
+columns under their own names, by place. Of equal lines the first stays. A very long text is judged as a whole; memory is some 20 times its bytes.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lean, slices, table
-from .kernels import Texts, mix, per_group, windows
+from .kernels import Texts, mix, per_group, runs, windows
 
 #: Base rules: fewest words, window of repeated words, most percent of words in repeated windows.
 MIN_WORDS, WINDOW, MAX_REPEATED = 20, 8, 30
@@ -84,8 +85,8 @@ class _Lines:
         self.n_words = np.bincount(self.of_word, minlength=len(self.starts))
 
     def count(self, flags: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-        return total[self.ends] - total[self.starts]
+        """Flagged bytes of each line; a line's end is not flagged."""
+        return runs(flags, self.starts, np.ones(len(self.starts), np.int64))
 
     def repeats(self, texts: Texts) -> np.ndarray:
         """Whether a line with a word is equal to an earlier one of its text."""
@@ -153,8 +154,11 @@ def _without(column: pa.Array, texts: Texts, lines: _Lines, failed: np.ndarray)
     return pa.array(out, pa.string())
 
 
-LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "kept_words", "n_lines", "n_punctuation", "n_navigation", "n_boilerplate", "n_stutter")
-FLAGS = ("base_failed", "kept")
+#: What the figures are called, in order, and their types.
+COLUMNS = {
+    **dict.fromkeys(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), "long"), **dict.fromkeys(("base_failed", "kept"), "boolean"),
+    **dict.fromkeys(("kept_words", "n_lines", "n_punctuation", "n_navigation", "n_boilerplate", "n_stutter"), "long"),
+}
 
 
 def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -165,7 +169,7 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _schema(with_text: bool) -> str:
-    return ", ".join([*(f"{k} long" for k in LONGS), *(f"{k} boolean" for k in FLAGS), *(["clean_text string"] * with_text)])
+    return ", ".join([*(f"{k} {v}" for k, v in COLUMNS.items()), *(["clean_text string"] * with_text)])
 
 
 def _judged(own: list[str], with_text: bool):
@@ -174,8 +178,8 @@ def _judged(own: list[str], with_text: bool):
         for batch in batches:
             for part in slices(batch, "text"):
                 figures, clean = judge(part.column("text"), with_text)
-                cols = [*(part.column(k) for k in own), *(pa.array(figures[k], pa.int64()) for k in LONGS), *(pa.array(figures[k]) for k in FLAGS), *([clean] * with_text)]
-                yield pa.RecordBatch.from_arrays(cols, [*own, *LONGS, *FLAGS, *(["clean_text"] * with_text)])
+                cols = [*(part.column(k) for k in own), *(pa.array(figures[k]) for k in COLUMNS), *([clean] * with_text)]
+                yield pa.RecordBatch.from_arrays(cols, [*own, *COLUMNS, *(["clean_text"] * with_text)])
 
     return judged
 
