@@ -2,9 +2,10 @@
 
 Words lose their case and the punctuation around them; numbers, names and units become typed placeholders, whose own words
 are kept as slot values. Windows of WIDTH canonical words of documents meet those of benchmark items in a hash join. Along one alignment of
-document and item, the slots must be consistent: each value of the item always the same value in the document, and the other
-way round. So a question whose numbers or names were replaced throughout is caught, and a template that only looks
-alike is not. An item is in a document if consistent alignments hold at least COVERAGE of its windows.
+document and item, the slots must be consistent: each value of the item has always the same value in the document (two values may get the
+same one). So a question whose numbers or names were replaced throughout is caught, and a template that only looks
+alike is not. Alignments are taken from the one with the most windows on (of equal ones, the one that begins first in the document); one whose slots contradict
+those taken is left out. An item is in a document if the alignments taken hold at least COVERAGE of its windows.
 
 A number is a word that begins with a digit, or a number word; a unit is a unit word after a number; a name is a
 capitalised word (A-Z, then not A-Z) within a sentence. A window needs literal words for more than half of it.
@@ -14,7 +15,8 @@ An item is found if its template windows or its exact windows reach COVERAGE, ea
 
 Items of fewer than WIDTH words have one window of their own width; those of fewer than LEAST words are only met exactly. Items without a word and null
 texts are never found. Documents are matched on their whole texts. Rows without a doc_id can't be reported. Repeated items and repeated rows
-of a document are each one item and one document. Empty tables give an empty result. Other columns are ignored.
+of a document are each one item and one document. Empty tables give an empty result. Other columns are ignored, whatever their names. A very
+long text is one slice, with memory of some 40 times its bytes.
 """
 
 from __future__ import annotations
@@ -173,10 +175,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # one alignment of a document and an item: its windows, and its distinct pairs of slot values
     pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d")))))
     lined = met.groupBy("id", "item", "exact", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("places"), F.first("n_windows").alias("total"), pairs.alias("pairs"))
-    values = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda p: p[k])))
-    names = lined.select("*", F.size("pairs").alias("n_slots"), F.size(F.filter("pairs", lambda p: p["b"] != p["d"])).alias("n_changed"), values("b").alias("nb"), values("d").alias("nd"))
-    consistent = names.where("n_slots <= nb AND n_slots <= nd")
-    out = consistent.groupBy("id", "item", "exact").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"), F.max("total").alias("total"), F.max("n_slots").cast("long").alias("n_slots"), F.min("n_changed").cast("long").alias("n_changed"))
+    # within an alignment each value of the item has one value in the document; so it must have over all alignments that count
+    one_each = lambda p: F.size(F.array_distinct(F.transform(p, lambda x: x["b"]))) == F.size(p)
+    ordered = F.array_sort(F.collect_list(F.struct((-F.size("places")).alias("o"), "shift", "places", "pairs")))
+    all_lined = lined.where(one_each(F.col("pairs"))).groupBy("id", "item", "exact").agg(F.max("total").alias("total"), ordered.alias("lines"))
+    start = F.struct(F.array().cast("array<bigint>").alias("places"), F.array().cast("array<struct<b:bigint,d:bigint>>").alias("pairs"))
+    both = lambda acc, x: F.get(F.transform(F.array(F.array_union(acc["pairs"], x["pairs"])), lambda p: F.when(one_each(p), F.struct(F.array_union(acc["places"], x["places"]).alias("places"), p.alias("pairs"))).otherwise(acc)), F.lit(0))
+    taken = all_lined.withColumn("t", F.aggregate("lines", start, both))
+    out = taken.select("id", "item", "exact", "total", F.size("t.places").cast("long").alias("n_windows"), F.size("t.pairs").cast("long").alias("n_slots"), F.size(F.filter("t.pairs", lambda p: p["b"] != p["d"])).cast("long").alias("n_changed"))
     share = F.col("n_windows") / F.col("total")
     # of two sorts that reach it, the template's figures
     best = out.where(share >= coverage).groupBy("id", "item").agg(F.min(F.struct("exact", "n_windows", share.alias("coverage"), "n_slots", "n_changed")).alias("b"))
