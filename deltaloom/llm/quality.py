@@ -3,14 +3,16 @@
 A logistic classifier gives each document's evidence. Its probabilities are summed by path and by host; a path's
 posterior mean is shrunk towards its host's, a host's towards the global one, each with a prior strength that the spread
 between sites gives (method of moments). A document's odds are its own times those of its path over the global ones, as the
-change of a prior has it, so a sparse site changes nothing and a large one of bad documents much.
+change of a prior has it. A document is left out of the sums of its own host and path, as its evidence counts already: so the
+only document of a site has its own evidence alone, and a large site of bad documents changes much.
 
-The classifier is fitted on the driver on a bounded sample of labelled documents (PER_CLASS of each label, MOST_CHARS
-characters of each). Everything else is grouped aggregation over all documents: first by path, then of
+The classifier is fitted on the driver on the features of a bounded sample of labelled documents (PER_CLASS of each label, MOST_CHARS
+characters of each); the features are computed on the executors. Everything else is grouped aggregation over all documents: first by path, then of
 the paths by host; crowded hosts are summed before any shuffle.
 
 Null texts are empty ones: their evidence is that of no words. A null host or path is a site of its own. Repeated rows
-count each. Without labels of both kinds all evidence is 0.5. An empty table gives an empty one.
+count each, and equal ones get equal results. Without labels of both kinds all evidence is 0.5. An empty table gives an empty one. Only the
+columns named are used, so others may have any name. A very long text is scored as a whole, with memory of some 20 times its bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import lean, slices, table, written
 from .line_rules import judge
-from .sampling import sample
+from .sampling import sampled
 
 PER_CLASS = 2500
 #: Documents are joined with their path's figures by broadcast if there are at most so many paths, else by shuffle.
@@ -61,12 +63,24 @@ class Logistic:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Logistic | None:
-    got = sample(docs, id_col, label_col, text_col, PER_CLASS, labels=labels)
-    y = np.array([float(bool(v)) for _, v in got])
+    """Fitted on the features of a sample, which are computed on the executors; None without labels of both kinds."""
+    rows = sampled(docs, id_col, label_col, text_col, PER_CLASS, labels=labels)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                flat = features(part.column("text"))
+                each = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("y"), each], ["k", "y", "f"])
+
+    got = rows.select("k", F.col("y").cast("boolean").alias("y"), F.col("x").alias("text")).mapInArrow(compute, "k long, y boolean, f array<double>").collect()
+    got = sorted({(r["k"], r["y"], tuple(r["f"])) for r in got})
+    y = np.array([float(r[1]) for r in got])
     if not len(y) or y.min() == y.max():
         return None
     share = labels.where(F.col(label_col).isNotNull()).agg(F.avg(F.col(label_col).cast("double"))).first()[0]
-    return Logistic(features(pa.array([x for x, _ in got], pa.string())), y, min(max(share, 0.01), 0.99))
+    return Logistic(np.array([r[2] for r in got]), y, min(max(share, 0.01), 0.99))
 
 
 def evidence(docs: DataFrame, model: Logistic | None, id_col: str, text_col: str, host: Column, path: Column) -> DataFrame:
@@ -90,7 +104,7 @@ def _strength(mean: Column, between: Column) -> Column:
 
 
 def site_posteriors(scored: DataFrame) -> DataFrame:
-    """host, path, n, host_mean, path_mean, mu, of each path of a table with host, path and p."""
+    """host, path, n, s (documents of the path, and their evidence), hn, hs (of its host), and the prior: mu, kh, kp, of each path of a table with host, path and p."""
     paths = written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * (1 - F.col("p"))).alias("v")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("v").alias("hv"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("ss"), F.count("*").alias("k"), F.sum(F.col("v") / F.col("n")).alias("noise"))
     hm = F.col("hs") / F.col("hn")
@@ -105,24 +119,26 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
         mu_, kh, kp = 0.5, 1.0, 1.0
     else:
         mu_, kh, kp = row["mu"], row["kh"], row["kp"]
-    host_mean = (kh * mu_ + F.col("hs")) / (kh + F.col("hn"))
-    means = hosts.select(F.col("host").alias("h"), host_mean.alias("host_mean"))
-    joined = paths.join(means, paths["host"].eqNullSafe(means["h"])).drop("h")
-    return joined.select("host", "path", "n", "host_mean", ((kp * F.col("host_mean") + F.col("s")) / (kp + F.col("n"))).alias("path_mean"), F.lit(mu_).alias("mu"))
+    sums = hosts.select(F.col("host").alias("h"), "hn", "hs")
+    joined = paths.join(sums, paths["host"].eqNullSafe(sums["h"])).drop("h")
+    return joined.select("host", "path", "n", "s", "hn", "hs", F.lit(mu_).alias("mu"), F.lit(kh).alias("kh"), F.lit(kp).alias("kp"))
 
 
 def quality(docs: DataFrame, model: Logistic | None, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, threshold: float = 0.5) -> DataFrame:
     """id_col, host, path, p_document, host_mean, path_mean, quality (posterior probability), keep (it is at least the threshold)."""
     scored = written(evidence(docs, model, id_col, text_col, F.lit(None).cast("string") if host is None else host, F.lit(None).cast("string") if path is None else path), "evidence")
-    sites = site_posteriors(scored).withColumnsRenamed({"host": "h", "path": "q"}).drop("n")
+    sites = site_posteriors(scored).withColumnsRenamed({"host": "h", "path": "q"})
     if scored.select("host", "path").distinct().limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         sites = F.broadcast(sites)
     joined = scored.join(sites, scored["host"].eqNullSafe(sites["h"]) & scored["path"].eqNullSafe(sites["q"]), "left")
     logit = lambda c: F.ln(c / (1 - c))
     bound = lambda c: F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), c))
-    z = logit(F.col("p")) + logit(bound(F.col("path_mean"))) - logit(bound(F.col("mu")))
-    posterior = 1 / (1 + F.exp(-z))
-    return joined.select(F.col("id").alias(id_col), "host", "path", F.col("p").alias("p_document"), "host_mean", "path_mean", posterior.alias("quality"), (posterior >= threshold).alias("keep"))
+    # what the other documents of host and path say
+    c = F.col
+    means = joined.withColumn("host_mean", (c("kh") * c("mu") + c("hs") - c("p")) / (c("kh") + c("hn") - 1))
+    means = means.withColumn("path_mean", (c("kp") * c("host_mean") + c("s") - c("p")) / (c("kp") + c("n") - 1))
+    posterior = 1 / (1 + F.exp(-(logit(c("p")) + logit(bound(c("path_mean"))) - logit(bound(c("mu"))))))
+    return means.select(c("id").alias(id_col), "host", "path", c("p").alias("p_document"), "host_mean", "path_mean", posterior.alias("quality")).withColumn("keep", c("quality") >= threshold)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Classes that a model may have.
-MOST_CLASSES = 512
 #: Characters of a sampled text that come to the driver.
 MOST_CHARS = 16384
 
@@ -23,30 +21,29 @@ def chosen_ids(rows: DataFrame, id_col: str, label_col: str, per_class: int) ->
     The labels are counted first, over all rows, so that each label's share of rows is known.
     """
     labelled = rows.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = labelled.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(MOST_CLASSES + 1).collect()
-    if len(counts) > MOST_CLASSES:
-        raise ValueError(f"more than {MOST_CLASSES} labels")
-    key = F.xxhash64(F.col(id_col).cast("string"), F.lit("sample"))
     places = 1 << 40
-    if not counts:
-        return labelled.select(id_col, label_col, key.alias("k")).limit(0)
-    upto = F.create_map(*(F.lit(x) for r in counts for x in (r[0], min(places, places * per_class // r["count"]))))
-    chosen = labelled.where(F.pmod(key, F.lit(places)) < upto[F.col(label_col)]).select(id_col, label_col, key.alias("k"))
-    return chosen.orderBy("k", id_col).limit(int(1.5 * per_class) * len(counts))
-
+    upto = labelled.groupBy(label_col).agg((F.lit(float(places)) * F.least(F.lit(1.0), per_class / F.count("*"))).cast("long").alias("upto"))
+    key = F.xxhash64(F.col(id_col).cast("string"), F.lit("sample"))
+    keyed = labelled.select(id_col, label_col, key.alias("k"), F.pmod(key, F.lit(places)).alias("place"))
+    chosen = keyed.join(upto, label_col).where("place < upto").select(id_col, label_col, "k")
+    return chosen.orderBy("k", id_col).limit(int(1.5 * per_class) * max(1, upto.count()))
 
-def sample(rows: DataFrame, id_col: str, label_col: str, text_col: str, per_class: int, chars: int = MOST_CHARS, labels: DataFrame | None = None) -> list[tuple[str, object]]:
-    """(text, label) of the chosen rows, in a fixed order. The labels may stand in a table of their own, with the same id_col.
 
-    What is broadcast, and what comes to the driver, is bounded by per_class, the number of labels and chars.
-    """
+def sampled(rows: DataFrame, id_col: str, label_col: str, text_col: str, per_class: int, chars: int = MOST_CHARS, labels: DataFrame | None = None) -> DataFrame:
+    """k, y, x (text) of the chosen rows, one for each id. The labels may stand in a table of their own, with the same id_col."""
     with_text = rows.where(F.col(text_col).isNotNull())
     if labels is None:
         labels = with_text
     ids = F.broadcast(chosen_ids(labels, id_col, label_col, per_class).select(F.col(id_col).alias("_id"), F.col(label_col).alias("y"), "k").distinct())
     joined = with_text.select(F.col(id_col).alias("_id"), F.col(text_col).alias("x")).join(ids, "_id")
-    got = joined.select("k", "y", window_of("x", F.col("k"), chars).alias("x")).limit(2 * MOST_CLASSES * per_class).collect()
-    return list(dict.fromkeys((r["x"], r["y"]) for r in sorted(got, key=lambda r: (r["k"], str(r["y"]), r["x"])) if r["x"]))
+    one = joined.select("_id", F.struct("k", "y", window_of("x", F.col("k"), chars).alias("x")).alias("r")).groupBy("_id").agg(F.min("r").alias("r"))
+    return one.select("r.k", "r.y", "r.x").where("x <> ''")
+
+
+def sample(rows: DataFrame, id_col: str, label_col: str, text_col: str, per_class: int, chars: int = MOST_CHARS, labels: DataFrame | None = None) -> list[tuple[str, object]]:
+    """(text, label) of the chosen rows, in a fixed order; at most 1.5 * per_class of `chars` characters for each label come to the driver."""
+    got = sampled(rows, id_col, label_col, text_col, per_class, chars, labels).collect()
+    return list(dict.fromkeys((r["x"], r["y"]) for r in sorted(got, key=lambda r: (r["k"], str(r["y"]), r["x"]))))
 
 
 def without_copies(labelled: list[tuple[str, object]], width: int = 5, bands: int = 16, rows: int = 4) -> list[tuple[str, object]]:
