@@ -2,15 +2,16 @@
 
 Severity has the grades 0 (not toxic) to 3. P(grade <= k) = logistic(t[k] - x.b): one weight vector b for all
 grades, with ordered thresholds t. Features are sparse: whether a word, or a beginning of words, stands in the text once,
-twice, three times at least. Words are lower-cased and without punctuation around them; beginnings have PREFIXES bytes. One
-more feature is the share of words that point to toxicity. Labels have two values, so the training grade of a toxic
-text is the third, by that share, in which it falls among the toxic ones.
+twice, three times at least. Words are lower-cased and without punctuation around them; beginnings have PREFIXES bytes.
+Labels have two values, so the training grade of a toxic text is the third in which it falls among the toxic ones by the share of its words
+that point to toxicity in the other half of the sample: neither its own label nor its own words choose what it is graded by.
 
 The model is fitted on the driver on a bounded sample of labelled texts (PER_CLASS of each label, MOST_CHARS
 characters of each); all texts are scored in full, in one pass without a shuffle.
 
 Null and empty texts and texts without words have expected severity 0 and grade 0. Without labels of both kinds all
-texts get 0. Repeated rows are scored each for itself.
+texts get 0. Repeated rows are scored each for itself, and equal texts alike. An empty table gives an empty one. Columns other than the two named
+are dropped, so no name can clash. A very long text is scored as a whole, with memory of some 40 times its bytes.
 """
 
 from __future__ import annotations
@@ -55,33 +56,30 @@ def _parts(texts: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 class Ordinal:
-    """hashes (sorted): the words and beginnings that are features; weights: theirs by level and, last, that of the share of pointing words."""
+    """hashes (sorted): the words and beginnings that are features; chosen: their levels that have a weight."""
 
-    def __init__(self, hashes: np.ndarray, chosen: np.ndarray, pointing: np.ndarray) -> None:
-        self.hashes, self.chosen, self.pointing = hashes, chosen, pointing
-        self.weights = np.zeros(int(chosen.sum()) + 1)
+    def __init__(self, hashes: np.ndarray, chosen: np.ndarray) -> None:
+        self.hashes, self.chosen = hashes, chosen
+        self.weights = np.zeros(int(chosen.sum()))
         self.thresholds = np.zeros(GRADES - 1)
 
-    def counts(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """text, feature and count where a text has a feature; percentage of pointing words of each text."""
+    def counts(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """text, feature and count where a text has a feature."""
         *parts, (doc, _) = _parts(texts)
-        points = np.zeros(len(doc), bool)
         keys = []
         for h, word in parts:
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             hit = np.flatnonzero(self.hashes[at] == h)
             keys.append(doc[word[hit]] * len(self.hashes) + at[hit])
-            points[word[hit[self.pointing[at[hit]]]]] = True
         key, n = np.unique(np.concatenate(keys), return_counts=True)
-        share = 100 * np.bincount(doc[points], minlength=texts.n) / np.maximum(np.bincount(doc, minlength=texts.n), 1)
-        return key // len(self.hashes), key % len(self.hashes), n, share
+        return key // len(self.hashes), key % len(self.hashes), n
 
     def linear(self, texts: Texts) -> np.ndarray:
-        doc, feature, n, share = self.counts(texts)
+        doc, feature, n = self.counts(texts)
         by_level = np.zeros(self.chosen.shape)
-        by_level[self.chosen] = self.weights[:-1]
+        by_level[self.chosen] = self.weights
         by_level = np.cumsum(by_level, axis=1)
-        return np.bincount(doc, weights=by_level[feature, np.minimum(n, LEVELS) - 1], minlength=texts.n) + self.weights[-1] * np.log1p(share)
+        return np.bincount(doc, weights=by_level[feature, np.minimum(n, LEVELS) - 1], minlength=texts.n)
 
     def above(self, linear: np.ndarray) -> np.ndarray:
         """(texts, GRADES - 1): P(grade > k)."""
@@ -89,7 +87,7 @@ class Ordinal:
 
     def fit(self, x: np.ndarray, grade: np.ndarray) -> None:
         """Adam on the negative log-likelihood; thresholds are a first one and positive steps."""
-        free = np.concatenate([np.zeros(x.shape[1]), [0.5], np.zeros(GRADES - 2)])
+        free = np.concatenate([np.zeros(x.shape[1]), [0.5], np.zeros(GRADES - 2)])  # weights, the first threshold, logarithms of the steps
         m, v = np.zeros_like(free), np.zeros_like(free)
         k = x.shape[1]
         for t in range(1, ROUNDS + 1):
@@ -125,35 +123,48 @@ def train(labelled: list[tuple[str, int]], share: float | None = None) -> Ordina
             each[d].append(h[i:j])
     found = [np.unique(np.concatenate(x), return_counts=True) for x in each]
     h = np.concatenate([x for x, _ in found])
-    level = np.concatenate([np.minimum(n, LEVELS) for _, n in found])
+    count = np.concatenate([n for _, n in found])
     row = np.repeat(np.arange(texts.n), [len(x) for x, _ in found])
     every, at = np.unique(h, return_inverse=True)
-    in_toxic, in_all = np.zeros((len(every), LEVELS)), np.zeros((len(every), LEVELS))
-    for k in range(LEVELS):
-        reach = level > k
-        in_toxic[:, k] = np.bincount(at[reach], weights=toxic[row[reach]], minlength=len(every))
-        in_all[:, k] = np.bincount(at[reach], minlength=len(every))
-    a, b = in_toxic + 0.5, in_all - in_toxic + 0.5
-    c, d = toxic.sum() - in_toxic + 0.5, (~toxic).sum() - (in_all - in_toxic) + 0.5
-    odds = np.log(a * d / (b * c))
-    z = odds / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    z[in_all < min(MIN_TEXTS, max(2, len(toxic) // 50))] = 0
+    level = np.minimum(count, LEVELS)
+
+    def evidence(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds and z-values of toxicity by feature and level, from the texts in use."""
+        in_toxic, in_all = np.zeros((len(every), LEVELS)), np.zeros((len(every), LEVELS))
+        for k in range(LEVELS):
+            reach = (level > k) & use[row]
+            in_toxic[:, k] = np.bincount(at[reach], weights=toxic[row[reach]], minlength=len(every))
+            in_all[:, k] = np.bincount(at[reach], minlength=len(every))
+        a, b = in_toxic + 0.5, in_all - in_toxic + 0.5
+        c, d = (toxic & use).sum() - in_toxic + 0.5, (~toxic & use).sum() - (in_all - in_toxic) + 0.5
+        odds = np.log(a * d / (b * c))
+        z = odds / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+        z[in_all < min(MIN_TEXTS, max(2, use.sum() // 50))] = 0
+        return odds, z
+
+    _, z = evidence(np.ones(texts.n, bool))
     best = np.argsort(-np.abs(z), axis=None, kind="stable")[:FEATURES]
     chosen = np.zeros(z.shape, bool)
     chosen.flat[best[z.flat[best] != 0]] = True
     used = np.flatnonzero(chosen.any(axis=1))
     if not len(used):
         return None
-    model = Ordinal(every[used], chosen[used], (chosen & (odds >= POINTING) & (z >= POINTING_Z))[used].any(axis=1))
-    row, feature, n, pointed = model.counts(texts)
+    # severity: the share of what points to toxicity in the other half of the sample
+    severity, half = np.zeros(texts.n), np.arange(texts.n) % 2 == 0
+    for own in (half, ~half):
+        odds, other = evidence(~own)
+        points = (odds[:, 0] >= POINTING) & (other[:, 0] >= POINTING_Z)
+        each_text = lambda w: np.bincount(row, weights=w, minlength=texts.n)
+        severity[own] = (each_text(count * points[at]) / np.maximum(each_text(count), 1))[own]
+    model = Ordinal(every[used], chosen[used])
+    row, feature, n = model.counts(texts)
     column = np.cumsum(model.chosen.ravel()).reshape(model.chosen.shape) - 1
-    x = np.zeros((texts.n, int(model.chosen.sum()) + 1))
+    x = np.zeros((texts.n, int(model.chosen.sum())))
     for k in range(LEVELS):
-        at = (n > k) & model.chosen[feature, k]
-        x[row[at], column[feature[at], k]] = 1
-    x[:, -1] = np.log1p(pointed)
-    cuts = np.quantile(pointed[toxic], [1 / 3, 2 / 3])
-    model.fit(x, np.where(toxic, 1 + np.searchsorted(cuts, pointed, "left"), 0))
+        hit = (n > k) & model.chosen[feature, k]
+        x[row[hit], column[feature[hit], k]] = 1
+    cuts = np.quantile(severity[toxic], [1 / 3, 2 / 3])
+    model.fit(x, np.where(toxic, 1 + np.searchsorted(cuts, severity, "left"), 0))
     if share is not None:
         p, q = np.clip([toxic.mean(), share], 0.01, 0.99)
         model.thresholds = model.thresholds + np.log(p / (1 - p)) - np.log(q / (1 - q))

@@ -104,7 +104,7 @@ def test_toxicity(spark):
     made = [(10_000 + i, f"{calm} {i} " + (insults if i % 2 else calm)) for i in range(200)]
     train = docs(spark).select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
     marks = labels.select("doc_id", "toxic").unionByName(spark.createDataFrame([(i, i % 2) for i, _ in made], "doc_id long, toxic int"))
-    model = toxicity.train([(t, i % 2) for i, t in made] + sample(train, "doc_id", "toxic", "text", 200, labels=marks))
+    model = toxicity.train([(t, int(i % 2)) for i, t in made] + sample(train, "doc_id", "toxic", "text", 200, labels=marks))
     probe = spark.createDataFrame([(1, f"{calm} {insults}"), (2, calm), (3, None), (4, ""), (5, "?!")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in toxicity.toxicity(probe, model).collect()}
     assert got[1]["severity"] > got[2]["severity"] and all(got[i]["severity"] == 0 for i in (3, 4)) and not got[5]["toxic"]
@@ -116,7 +116,7 @@ def test_ordinal_regression_recovers_order():
     rng = np.random.default_rng(3)
     x = np.abs(rng.normal(size=(2000, 3)))
     grade = np.searchsorted([1.0, 2.0, 3.0], x @ [2.0, 0.0, 0.0] + rng.logistic(size=2000) * 0.2)
-    model = toxicity.Ordinal(np.zeros(0, np.uint64), np.zeros((0, 3), bool), np.zeros(0, bool))
+    model = toxicity.Ordinal(np.zeros(0, np.uint64), np.zeros((0, 3), bool))
     model.fit(x, grade)
     assert model.weights[0] > 5 * max(abs(model.weights[1]), abs(model.weights[2])) and np.all(np.diff(model.thresholds) > 0)
 
@@ -130,13 +130,27 @@ def test_quality(spark):
     assert quality.quality(odd(spark).limit(0), None).count() == 0
 
 
-def test_sites_shrink_by_their_size(spark):
+def test_sites_shrink_by_their_size(spark, monkeypatch):
     rows = [("big", "p", 0.1)] * 400 + [("big", "q", 0.9)] + [("small", "r", 0.1)] + [(f"h{i}", "x", 0.7 + i % 3 * 0.1) for i in range(300)]
-    sites = {(r["host"], r["path"]): r for r in quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
-    mu = sites["big", "p"]["mu"]
-    assert abs(sites["big", "p"]["path_mean"] - 0.1) < 0.05
-    assert abs(sites["small", "r"]["path_mean"] - mu) < abs(0.1 - mu)
-    assert abs(sites["big", "q"]["path_mean"] - sites["big", "q"]["host_mean"]) < abs(0.9 - sites["big", "q"]["host_mean"])
+    scored = spark.createDataFrame(rows, "host string, path string, p double")
+    prior = quality.site_posteriors(scored).first()
+    mu, kh, kp = prior["mu"], prior["kh"], prior["kp"]
+    assert np.isclose(mu, np.mean([p for *_, p in rows]))
+    # the whole posterior, each document without its own part in its sites
+    monkeypatch.setattr(quality, "evidence", lambda *a: scored.selectExpr("1L AS id", "host", "path", "p"))
+    logit = lambda x: np.log(x / (1 - x))
+    got = sorted((r["host"], r["path"], round(r["p_document"], 9), round(r["host_mean"], 9), round(r["path_mean"], 9), round(r["quality"], 9)) for r in quality.quality(scored, None).collect())
+    want, total = [], defaultdict(float)
+    for h, q, p in rows:
+        for k, v in (((h,), p), ((h, q), p), (("n", h), 1), (("n", h, q), 1)):
+            total[k] += v
+    for h, q, p in rows:
+        host = (kh * mu + total[(h,)] - p) / (kh + total["n", h] - 1)
+        path = (kp * host + total[h, q] - p) / (kp + total["n", h, q] - 1)
+        want.append((h, q, round(p, 9), round(host, 9), round(path, 9), round(1 / (1 + np.exp(-(logit(p) + logit(path) - logit(mu)))), 9)))
+    assert got == sorted(want)
+    alone = {g[0]: g for g in got}["small"]
+    assert np.isclose(alone[5], alone[2])  # a site of its own changes nothing
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 20_000, 3_000])
