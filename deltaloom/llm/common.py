@@ -23,8 +23,12 @@ BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder, in a session whose Arrow batches are small enough for texts."""
+    """A table of the folder, in a session whose Arrow batches are small enough for texts.
+
+    Small intermediate tables become as few tasks and files as their bytes need, not as many as there are cores.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -110,18 +110,18 @@ class Texts:
         n, step = len(self.buf), min(HASH_BLOCK, len(self.buf) + 1)
         power, back = powers(_BASE, step + 1), powers(pow(_BASE, -1, 1 << 64), step + 1)
         first, last, shift = (np.zeros(len(starts), U64) for _ in range(3))
-        total, scale, inverse = U64(0), U64(1), U64(1)
+        total, scale, inverse = 0, 1, 1
         one = n < step
         for at in range(0, n + 1, step):
             part = self.buf[at : at + step]
             sums = np.zeros(len(part) + 1, U64)
             np.cumsum(_byte_values(lower)[part] * power[: len(part)], out=sums[1:])
-            sums = sums * scale + total
+            sums = sums * U64(scale) + U64(total)
             here = slice(None) if one else np.flatnonzero((starts >= at) & (starts < at + step))
-            first[here], shift[here] = sums[starts[here] - at], back[starts[here] - at] * inverse
+            first[here], shift[here] = sums[starts[here] - at], back[starts[here] - at] * U64(inverse)
             here = slice(None) if one else np.flatnonzero((ends >= at) & (ends < at + step))
             last[here] = sums[ends[here] - at]
-            total, scale, inverse = sums[-1], scale * power[step], inverse * back[step]
+            total, scale, inverse = int(sums[-1]), scale * int(power[step]) % (1 << 64), inverse * int(back[step]) % (1 << 64)
         return mix((last - first) * shift + (ends - starts).astype(U64))
 
     def word_hashes(self, lower: bool = False) -> np.ndarray:

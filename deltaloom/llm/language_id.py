@@ -9,7 +9,9 @@ The input of a convolution is one-hot, so a filter's response is a sum of table
 one for each pair of bytes in prediction. It is trained by Adam on the driver, on a bounded sample of labelled texts.
 
 A text that is null or has no letter is `und` with score 0, as is any text when no labelled row exists. Only text is an input;
-labels are read for training from rows that aren't held out. Ties go to the label that sorts first.
+labels are read for training from rows that aren't held out. Ties go to the label that sorts first. Repeated rows are predicted each for itself,
+and equal texts alike. An empty table gives an empty one. Other columns are kept by place, so that no name can clash. A very long text is
+predicted over all its windows, in one slice.
 """
 
 from __future__ import annotations

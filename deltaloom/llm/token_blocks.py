@@ -18,6 +18,9 @@ A payload, little-endian:
     outliers      u32 x exceptions: id minus base in full
 
 The width of a block is that of the chosen percentile of its differences; whatever needs more bits is an exception.
+
+A null text is an empty one: its end id alone. Rows with null ids come first; repeated ids are documents each for itself, in any order among
+themselves. An empty table gives an empty folder. Columns other than the two named are not read. A very long text is encoded in segments.
 """
 
 from __future__ import annotations

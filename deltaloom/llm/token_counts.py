@@ -10,6 +10,7 @@ gives an empty one, and columns other than the two named are dropped, so that no
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,9 +46,9 @@ def prove_whole(encoder: Encoder) -> frozenset[str]:
 class TokenCounter(Encoder):
     """The value of a chunk is its number of tokens."""
 
-    def __init__(self, name: str, most: int = KEPT) -> None:
+    def __init__(self, name: str, most: int = KEPT, proven: frozenset[str] | None = None) -> None:
         super().__init__(name, most)
-        self.proven = prove_whole(self)
+        self.proven = prove_whole(self) if proven is None else proven
 
     joined = staticmethod(sum)
 
@@ -66,17 +67,20 @@ class TokenCounter(Encoder):
         return self.each(texts, sum, len)
 
 
-def counter(name: str) -> TokenCounter:
-    return load(TokenCounter, name)
+@functools.cache
+def proven_of(name: str) -> frozenset[str]:
+    """The proof, made once by the driver."""
+    return prove_whole(Encoder(name))
 
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """id_col, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of each row. One pass, no shuffle."""
     wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = wanted.schema["id"].dataType
+    proven = docs.sparkSession.sparkContext.broadcast(proven_of(vocabulary))  # bounded by the vocabulary
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(vocabulary)
+        own = load(TokenCounter, vocabulary, proven=proven.value)
         for batch in batches:
             for part in slices(batch, "text"):
                 n = own.count_all(part.column("text").to_pylist())

@@ -184,11 +184,11 @@ class Encoder:
 _loaded: dict[tuple[type, str, int], Encoder] = {}
 
 
-def load(kind: type, name: str, most: int = KEPT) -> Encoder:
-    """One of a kind and file for each Python worker."""
+def load(kind: type, name: str, most: int = KEPT, **more: object) -> Encoder:
+    """One of a kind and file for each Python worker; more: what else its first maker needs."""
     if (kind, name, most) not in _loaded:
         _loaded.clear()  # a worker rarely needs two at a time
-        _loaded[kind, name, most] = kind(name, most)
+        _loaded[kind, name, most] = kind(name, most, **more)
     return _loaded[kind, name, most]
 
 
