@@ -83,7 +83,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     out = batch.run(work, paths, Settings(args.mode, args.policy, args.run_id, include_modules=False), force=args.force_rescan)
     for r in out.groupBy("outcome", "action").count().orderBy("outcome", "action").collect():
         print(f"{r['outcome']} {r['action']}: {r['count']}")
-    return batch.exit_code(out, args.fail_on)
+    code = batch.exit_code(out, args.fail_on)
+    work.clear()
+    return code
 
 
 if __name__ == "__main__":

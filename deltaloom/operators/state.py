@@ -55,11 +55,13 @@ def unfinished(requests: DataFrame, manifest: DataFrame) -> DataFrame:
     return requests.join(manifest.where(F.col("state").isin(TERMINAL)).select("request_id"), "request_id", "left_anti")
 
 
-def without_duplicates(requests: DataFrame) -> DataFrame:
-    """requests with state: of equal content in a run, one is queued and the others are skipped_duplicate."""
-    first = requests.groupBy("run_id", "content_hash").agg(F.min("request_id").alias("_first"))
-    joined = requests.join(first, ["run_id", "content_hash"])
-    return joined.withColumn("state", F.when(F.col("request_id") == F.col("_first"), "queued").otherwise("skipped_duplicate")).drop("_first")
+def without_duplicates(requests: DataFrame, content: list[str] | None = None) -> DataFrame:
+    """requests with state: of equal content in a run, one is queued and the others are skipped_duplicate. Rows of unknown content are queued."""
+    content = content or ["content_hash"]
+    known = F.col("content_hash").isNotNull()
+    first = requests.where(known).groupBy("run_id", *content).agg(F.min("request_id").alias("_first"))
+    joined = requests.join(first, ["run_id", *content], "left")
+    return joined.withColumn("state", F.when(F.col("request_id") == F.coalesce("_first", "request_id"), "queued").otherwise("skipped_duplicate")).drop("_first").select(*requests.columns, "state")
 
 
 CACHE_KEY = ["content_hash", "config_hash"]

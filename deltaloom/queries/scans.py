@@ -1,6 +1,5 @@
 """Whole scans of generated adapters. Rows only: their numbers come out of numpy on the executors."""
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -18,12 +17,13 @@ N = 14
 
 def _folder(spark) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(found or '/tmp/checkpoints/deltaloom').removeprefix('file://')}/adapters-{uuid.uuid4().hex}"
 
 
 def _made(spark, n: int = N, kinds: list[str] | None = None, layers: int = 16):
     folder = _folder(spark)
-    os.makedirs(folder, exist_ok=True)
     work = batch.Workspace(spark, f"{folder}/tables")
     return work, work.written(generate.corpus(spark, f"{folder}/files", n, kinds, layers), "made")
 

@@ -70,14 +70,14 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """The table of results, by run. Spark's committer makes each write all or nothing."""
-    results.withColumn("run_id", F.col("scan.run_id")).write.partitionBy("run_id").mode("append").parquet(path)
+def write_results(rows: DataFrame, path: str) -> None:
+    """The table of results, by run_id. Spark's committer makes each write all or nothing."""
+    rows.write.partitionBy("run_id").mode("append").parquet(path)
 
 
-def append_log(results: DataFrame, path: str) -> None:
-    """The audit log: one JSON line for each document, only ever appended."""
-    as_json(results).write.mode("append").json(path)
+def append_log(documents: DataFrame, path: str) -> None:
+    """The audit log: one JSON document (column document) a line, only ever appended."""
+    documents.select("document").write.mode("append").text(path)
 
 
 def corpus_report(totals: dict, codes: list[tuple[str, int]], top: list[tuple[str, float]]) -> str:

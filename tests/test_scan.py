@@ -6,9 +6,10 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import adapters
-from deltaloom.operators import rules
+from deltaloom.operators import rules, state
 from deltaloom.plans import batch
 from deltaloom.plans.scan import Settings, scan
 from deltaloom.sinks import reports
@@ -132,6 +133,46 @@ def test_batch_is_cached_and_resumed(spark, scanned, tmp_path):
     assert again[files["zero"]] == "cached_hit"
 
 
+def test_batch_sinks(spark, scanned, tmp_path):
+    """Results once, conflicts reported, duplicates skipped, interrupted requests taken up or given up."""
+    import shutil
+
+    files = scanned[3]
+    copies = {}
+    for k, name in (("one", "clean"), ("two", "clean"), ("bad", "huge"), ("zero", "zero")):
+        shutil.copytree(os.path.dirname(files[name]), tmp_path / k)
+        copies[k] = str(tmp_path / k / os.path.basename(files[name]))
+    paths = spark.createDataFrame([(p, i) for i, p in enumerate(copies.values())], "path string, ordinal long")
+    work = batch.Workspace(spark, str(tmp_path / "out"))
+    go = lambda run_id, **more: {r["path"].split("/")[-2]: r for r in batch.run(work, paths, Settings(run_id=run_id, include_modules=False), **more).collect()}
+    first = go("a")
+    assert sorted(r["outcome"] for r in first.values()) == ["failed", "persisted", "persisted", "skipped_duplicate"]
+    assert {first[k]["outcome"] for k in ("one", "two")} == {"persisted", "skipped_duplicate"}
+    assert work.read("results", batch.RESULTS).count() == 3 and spark.read.text(str(tmp_path / "out/log")).count() == 3
+    old = work.written(work.read("results", batch.RESULTS).where("document LIKE '%\"failed\"%'").withColumns({"stable_hash": F.lit("other"), "stored_at": F.current_timestamp()}), "old")
+    reports.write_results(old, f"{work.folder}/results")
+    second = go("b")
+    assert sorted(r["outcome"] for r in second.values()) == ["cached_hit", "cached_hit", "failed", "skipped_duplicate"]
+    assert second["zero"]["action"] == first["zero"]["action"] and second["bad"]["stored"] == "conflict" and second["zero"]["stored"] == "unchanged"
+    # cached documents are in the log in full; of stored ones only the conflicting one is stored again
+    log = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "out/log")).collect()]
+    assert len(log) == 6 and all(d["schema_version"] for d in log)
+    assert work.read("results", batch.RESULTS).count() == 3 + old.count() + 1
+    # an interrupted run: one request has been tried twice before
+    ids = {r["path"]: r["request_id"] for r in batch._requests(work, paths, Settings(run_id="d"), False).collect()}
+    left = spark.createDataFrame([(ids[copies["one"]], copies["one"], 2), (ids[copies["zero"]], copies["zero"], 1)], "request_id string, path string, retry_count int").withColumn("run_id", F.lit("d"))
+    work.append(batch.event(left, "queued"), "manifest")
+    fourth = go("d")
+    assert set(fourth) == {"two", "bad", "zero"}
+    last = {r["adapter_path"]: r for r in state.latest(work.read("manifest", batch.MANIFEST).where("run_id = 'd'")).collect()}
+    assert last[copies["one"]]["error_message"] == state.RETRY_MESSAGE and last[copies["zero"]]["retry_count"] == 2
+    # a broken table is an error, not an empty one
+    with open(tmp_path / "out/manifest/part-0.parquet", "w") as f:
+        f.write("no table")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        work.read("manifest", batch.MANIFEST).collect()
+
+
 def test_codec_and_hostile_entries(spark, tmp_path):
     x = np.array([[1.5, -2.0], [np.inf, np.nan]], "f4")
     p = str(tmp_path / "x.safetensors")
