@@ -125,7 +125,13 @@ def train(labelled: list[tuple[str, int]], share: float | None = None) -> Ordina
     h = np.concatenate([x for x, _ in found])
     count = np.concatenate([n for _, n in found])
     row = np.repeat(np.arange(texts.n), [len(x) for x, _ in found])
-    every, at = np.unique(h, return_inverse=True)
+    del each, found
+    every, at, in_texts = np.unique(h, return_inverse=True, return_counts=True)
+    sizes = np.bincount(row, weights=count, minlength=texts.n)
+    # features of too few texts for any z-value, which are most, go first
+    common = in_texts >= min(MIN_TEXTS, max(2, texts.n // 2 // 50))
+    use = common[at]
+    every, at, row, count = every[common], (np.cumsum(common) - 1)[at[use]], row[use], count[use]
     level = np.minimum(count, LEVELS)
 
     def evidence(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,8 +160,7 @@ def train(labelled: list[tuple[str, int]], share: float | None = None) -> Ordina
     for own in (half, ~half):
         odds, other = evidence(~own)
         points = (odds[:, 0] >= POINTING) & (other[:, 0] >= POINTING_Z)
-        each_text = lambda w: np.bincount(row, weights=w, minlength=texts.n)
-        severity[own] = (each_text(count * points[at]) / np.maximum(each_text(count), 1))[own]
+        severity[own] = (np.bincount(row, weights=count * points[at], minlength=texts.n) / np.maximum(sizes, 1))[own]
     model = Ordinal(every[used], chosen[used])
     row, feature, n = model.counts(texts)
     column = np.cumsum(model.chosen.ravel()).reshape(model.chosen.shape) - 1
