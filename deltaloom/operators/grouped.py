@@ -108,7 +108,57 @@ def percentiles(df: DataFrame, keys: list[str], value: str, at: list[float]) ->
     return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), *(F.percentile(value, F.lit(q / 100)).alias(f"p{q:g}") for q in at))
 
 
+#: Slices into which a group's scores are cut, and the size up to which a group's median needs no bracket.
+SLICES, SMALL_GROUP = 64, 5000
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left with the other columns of right, where all keys are the same; null is the same as null."""
+    named = right.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), *(c for c in right.columns if c not in keys))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return left.join(named, same, how).drop(*(f"_key{i}" for i in range(len(keys))))
+
+
 def count_at_least(df: DataFrame, keys: list[str], score: str, is_reference: Column) -> DataFrame:
-    """df with n_ge: how many reference rows of the group have a score at least as high, in one window over all rows instead of an inequality join."""
-    w = W.partitionBy(*keys).orderBy(F.desc(score)).rangeBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn("n_ge", F.sum(is_reference.cast("long")).over(w))
+    """df with n_ge: how many reference rows of the group have a score at least as high; a null score is below all others.
+
+    Equal scores are counted before anything is sorted, and a group's scores are cut at approximate percentiles. So neither a crowded
+    score nor a large group meets in one task; what is summed over a whole group are its SLICES totals.
+    """
+    steps = df.groupBy(*keys, score).agg(F.sum(is_reference.cast("long")).alias("_c"))
+    cuts = steps.groupBy(*keys).agg(F.percentile_approx(score, [i / SLICES for i in range(1, SLICES)], 1000).alias("_cuts"))
+    place = F.coalesce(F.size(F.filter("_cuts", lambda q: q < F.col(score))), F.lit(0))
+    sliced = joined(steps, cuts, keys).withColumn("_slice", place).drop("_cuts")
+    later = W.partitionBy(*keys).orderBy("_slice").rowsBetween(1, W.unboundedFollowing)
+    above = sliced.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_t")).withColumn("_above", F.coalesce(F.sum("_t").over(later), F.lit(0))).drop("_t")
+    own = F.sum("_c").over(W.partitionBy(*keys, "_slice").orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0))
+    counted = joined(sliced.withColumn("_own", own), above, [*keys, "_slice"]).select(*keys, score, (F.col("_own") + F.col("_above")).alias("n_ge"))
+    return joined(df, counted, [*keys, score])
+
+
+def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, n, med of the values that aren't null, exactly, for groups of any size.
+
+    Approximate percentiles bracket the median of a large group; what lies below is only counted, and of the bracket (some 0.2 % of
+    a group) the distinct values are sorted. The rank error of the percentiles is a tenth of the bracket's margin.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    near = known.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_v", [0.499, 0.501], 10_000).alias("_q"))
+    large = F.col("n") > SMALL_GROUP
+    below = large & (F.col("_v") < F.col("_q")[0])
+    steps = joined(known, near, keys).where(~large | (F.col("_v") <= F.col("_q")[1]))
+    counts = steps.groupBy(*keys, "n", F.when(below, F.lit(float("-inf"))).otherwise(F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    reached = counts.withColumn("_r", F.sum("_c").over(W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)))
+    at = lambda rank: F.sum(F.when((F.col("_r") - F.col("_c") <= rank) & (rank < F.col("_r")), F.col("_v")))
+    return reached.groupBy(*keys, "n").agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("med"))
+
+
+def robust_scale_of_many(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """robust_scale of groups that no task should hold."""
+    med = medians(df, keys, value).drop("n")
+    away = joined(df, med, keys).select(*keys, "med", F.abs(F.col(value) - F.col("med")).alias("_d"))
+    mean = away.groupBy(*keys).agg(F.first("med").alias("med"), F.avg("_d").alias("mean_ad"))
+    mad = medians(away, keys, "_d").select(*keys, F.col("med").alias("mad"))
+    return joined(mean, mad, keys).select(*keys, "med", scale_of(F.col("mad"), F.col("mean_ad")).alias("scale"))

@@ -15,8 +15,6 @@ MIN_POINTS = 24
 ALPHAS = {"block": 0.01, "review": 0.05}
 #: A profile never blocks on its own.
 REFERENCE_CAN_BLOCK = False
-#: What a calibration may bring to the driver: adapters of one family, of 18 numbers each.
-MOST_ADAPTERS = 100_000
 
 
 def fit_trend(points: DataFrame, keys: list[str], y: str, x1: str, x2: str, least: int = MIN_POINTS) -> DataFrame:
@@ -52,7 +50,7 @@ def fit(values: DataFrame, holdout: float = 0.3, everything: bool = False) -> Da
     used = values if everything else values.where(~held)
     trend = fit_trend(used, ["module", "feature"], "value", "rel_depth", "log_rank").where("c0 IS NOT NULL")
     residual = F.col("value") - (F.col("c0") + F.col("c1") * F.col("rel_depth") + F.col("c2") * F.col("log_rank"))
-    scale = grouped.robust_scale(used.join(trend, ["module", "feature"]).withColumn("residual", residual), ["module", "feature"], "residual")
+    scale = grouped.robust_scale_of_many(used.join(trend, ["module", "feature"]).withColumn("residual", residual), ["module", "feature"], "residual")
     return trend.join(scale.select("module", "feature", F.col("med").alias("resid_med"), F.col("scale").alias("resid_scale")), ["module", "feature"])
 
 
@@ -73,28 +71,47 @@ def adapter_vector(z: DataFrame, id_col: str = "repo") -> DataFrame:
     return out.select(id_col, F.array(*(c for c in out.columns if c != id_col)).alias("vector"))
 
 
-def ledoit_wolf(x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Covariance shrunk towards a multiple of the identity (Ledoit and Wolf, 2004), and the shrinkage."""
-    n, p = x.shape
-    x = x - x.mean(axis=0)
-    s = x.T @ x / n
+def shrunk(s: np.ndarray, fourth: float, n: int) -> tuple[np.ndarray, float]:
+    """Covariance s of n rows shrunk towards a multiple of the identity (Ledoit and Wolf, 2004), and the shrinkage; fourth is the mean of the rows' squared squared lengths."""
+    p = len(s)
     m = np.trace(s) / p
     distance = ((s - m * np.eye(p)) ** 2).sum() / p
-    noise = min(distance, ((x**2).sum(axis=1) ** 2).sum() / n**2 / p - (s**2).sum() / n / p)
+    noise = min(distance, (fourth - (s**2).sum()) / n / p)
     rho = noise / distance if noise > 0 and distance > 0 else 0.0
     return (1 - rho) * s + rho * m * np.eye(p), rho
 
 
+def ledoit_wolf(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """The shrunk covariance of the rows of x, and the shrinkage."""
+    x = x - x.mean(axis=0)
+    return shrunk(x.T @ x / len(x), ((x**2).sum(axis=1) ** 2).mean(), len(x))
+
+
+def covariance(vectors: DataFrame, mean: list[float]) -> tuple[np.ndarray, float]:
+    """Covariance around the mean, and the mean of the squared squared lengths, of a column `vector`: sums alone reach the driver."""
+    p = len(mean)
+    v = F.zip_with("vector", F.array(*map(F.lit, mean)), lambda x, m: x - m)
+    away = vectors.select(*(v[i].alias(f"v{i}") for i in range(p)))
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+    length = sum((F.col(f"v{i}") * F.col(f"v{i}") for i in range(p)), F.lit(0.0))
+    *products, fourth = away.agg(*(F.avg(F.col(f"v{i}") * F.col(f"v{j}")) for i, j in pairs), F.avg(length * length)).first()
+    s = np.zeros((p, p))
+    for (i, j), x in zip(pairs, products, strict=True):
+        s[i, j] = s[j, i] = x
+    return s, fourth
+
+
 def calibrate(vectors: DataFrame, id_col: str = "repo") -> tuple[list[float], list[list[float]], DataFrame]:
-    """Centre, precision, and (id_col, d2) of the reference half. The other half, of at most MOST_ADAPTERS rows, is fitted on the driver."""
+    """Centre, precision, and (id_col, d2) of the reference half. The other half is fitted on by sums and medians, whatever its size."""
     half = F.pmod(F.xxhash64(id_col, F.lit("half")), F.lit(2)) == 0
-    fit_rows = [r[0] for r in vectors.where(half).select("vector").limit(MOST_ADAPTERS + 1).collect()]
-    if not 2 <= len(fit_rows) <= MOST_ADAPTERS:
-        raise ValueError(f"{len(fit_rows)} adapters to calibrate with")
-    x = np.array(fit_rows, float)
-    mu = np.median(x, axis=0)
-    precision = np.linalg.pinv(ledoit_wolf(x - mu)[0])
-    return mu.tolist(), precision.tolist(), vectors.where(~half).select(id_col, distance(F.col("vector"), mu.tolist(), precision.tolist()).alias("d2"))
+    fitted = vectors.where(half).select("vector")
+    each = fitted.select(F.posexplode("vector").alias("pos", "v"))
+    rows = grouped.joined(grouped.medians(each, ["pos"], "v"), each.groupBy("pos").agg(F.avg("v").alias("mean")), ["pos"]).orderBy("pos").collect()
+    if not rows or rows[0]["n"] < 2:
+        raise ValueError(f"{rows[0]['n'] if rows else 0} adapters to calibrate with")
+    mu = [r["med"] for r in rows]
+    precision = np.linalg.pinv(shrunk(*covariance(fitted, [r["mean"] for r in rows]), rows[0]["n"])[0])
+    return mu, precision.tolist(), vectors.where(~half).select(id_col, distance(F.col("vector"), mu, precision.tolist()).alias("d2"))
 
 
 def distance(vector: Column, mu: list[float], precision: list[list[float]]) -> Column:
@@ -102,20 +119,20 @@ def distance(vector: Column, mu: list[float], precision: list[list[float]]) -> C
 
 
 def conformal_p(scores: DataFrame, reference: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """scores (id, d2) with p_value = (1 + #{reference >= d2}) / (n + 1), in one window over both."""
+    """scores (id, d2) with p_value = (1 + #{reference >= d2}) / (n + 1), from counts of both together."""
     keys = keys or []
     group = [F.lit(0).alias("_g")] if not keys else [F.col(k) for k in keys]
     names = keys or ["_g"]
     both = scores.select("*", *([group[0]] if not keys else [])).withColumn("_ref", F.lit(False)).unionByName(reference.select(*group, "d2").withColumn("_ref", F.lit(True)), allowMissingColumns=True)
-    counted = grouped.count_at_least(both, names, "d2", F.col("_ref"))
-    n = F.sum(F.col("_ref").cast("long")).over(W.partitionBy(*names))
-    return counted.withColumn("n_reference", n).where(~F.col("_ref")).withColumn("p_value", (1 + F.col("n_ge")) / (F.col("n_reference") + 1)).drop("_ref", "_g")
+    counted = grouped.count_at_least(both, names, "d2", F.col("_ref")).where(~F.col("_ref"))
+    n = both.groupBy(*names).agg(F.count_if("_ref").alias("n_reference"))
+    return grouped.joined(counted, n, names).withColumn("p_value", (1 + F.col("n_ge")) / (F.col("n_reference") + 1)).drop("_ref", "_g")
 
 
 def loo_p(reference: DataFrame, keys: list[str]) -> DataFrame:
     """reference (keys, d2) with the p-value of each row against the others."""
     counted = grouped.count_at_least(reference, keys, "d2", F.lit(True))
-    return counted.withColumn("p_value", F.col("n_ge") / F.count("*").over(W.partitionBy(*keys))).drop("n_ge")
+    return grouped.joined(counted, reference.groupBy(*keys).agg(F.count("*").alias("_n")), keys).withColumn("p_value", F.col("n_ge") / F.col("_n")).drop("n_ge", "_n")
 
 
 def loo_fpr(reference: DataFrame, keys: list[str], alphas: tuple[float, ...] = (0.01, 0.05, 0.1)) -> DataFrame:

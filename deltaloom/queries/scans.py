@@ -65,6 +65,7 @@ def reference_compare(spark, d):
     trend = work.written(profile.fit(values), "trend")
     vectors = work.written(profile.adapter_vector(profile.residual_z(values, trend)), "vectors")
     mu, precision, scores = profile.calibrate(vectors)
+    scores = work.written(scores, "scores")
     own = Profiles(trend.withColumn("family", F.lit("llama")), scores.select(F.lit("llama").alias("family"), "d2"), {"llama": (mu, precision)})
     again = scan(made, Settings(mode="full", run_id="scored"), own, work.written).join(made, "path")
     scored = evaluate.scored(again.withColumn("ordinal", F.lit(0)))

@@ -1,7 +1,8 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from deltaloom.functions import stats
-from deltaloom.operators import evaluate, profile
+from deltaloom.operators import evaluate, grouped, profile
 
 
 def test_profile_fit_calibrate_score(spark):
@@ -18,6 +19,7 @@ def test_profile_fit_calibrate_score(spark):
     assert 0.7 < row["c1"] < 1.5 and row["resid_scale"] > 0
     vectors = profile.adapter_vector(profile.residual_z(points, fitted)).cache()
     mu, precision, reference = profile.calibrate(vectors)
+    reference = reference.cache()
     assert len(mu) == 18 and reference.count() > 10
     low = [0.0] * 18
     far = [50.0] * 18
@@ -48,3 +50,31 @@ def test_evaluate(spark):
     assert set(by) == {"a", "(untagged)"} and by["a"]["n"] == 8
     one = evaluate.auroc(df.where("label = 1").selectExpr("'x' AS k", "*"), ["k"]).first()
     assert one["auroc"] is None
+
+
+def test_medians_and_counts_of_large_groups(spark):
+    rng = np.random.default_rng(3)
+    groups = {"wide": rng.normal(size=20_001), "even": rng.normal(size=12_000), "ties": rng.integers(0, 3, 9_000).astype(float), "one": np.array([2.5]), "two": np.array([1.0, 4.0]), None: rng.normal(size=7)}
+    rows = [(k, float(x)) for k, xs in groups.items() for x in xs] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7).cache()
+    found = {r["k"]: r for r in grouped.robust_scale_of_many(df, ["k"], "v").collect()}
+    assert {r["k"]: r["med"] for r in grouped.medians(df, ["k"], "v").collect()} == {k: float(np.median(xs)) for k, xs in groups.items()}
+    for k, xs in groups.items():
+        dev = np.abs(xs - np.median(xs))
+        scale = stats.MAD_TO_SIGMA * np.median(dev) or stats.MEANAD_TO_SIGMA * dev.mean()
+        assert np.isclose(found[k]["scale"], scale), k
+    counted = grouped.count_at_least(df.withColumn("ref", F.col("v") > 0), ["k"], "v", F.col("ref")).collect()
+    assert len(counted) == len(rows)
+    for k, xs in groups.items():
+        got = sorted((r["v"], r["n_ge"]) for r in counted if r["k"] == k and r["v"] is not None)
+        ref = np.sort(xs[xs > 0])
+        assert got == [(x, len(ref) - int(np.searchsorted(ref, x))) for x in np.sort(xs).tolist()], k
+
+
+def test_calibration_from_sums(spark):
+    x = np.random.default_rng(4).normal(size=(300, 18)) @ np.diag(np.arange(1, 19))
+    df = spark.createDataFrame([(f"r{i}", row) for i, row in enumerate(x.tolist())], "repo string, vector array<double>")
+    mu, precision, _ = profile.calibrate(df)
+    half = [r[0] for r in df.where(F.pmod(F.xxhash64("repo", F.lit("half")), F.lit(2)) == 0).select("vector").collect()]
+    assert np.array_equal(mu, np.median(half, axis=0))
+    assert np.allclose(precision, np.linalg.pinv(profile.ledoit_wolf(np.array(half))[0]))
