@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 RED_FLAGS = ["FULL_WEIGHT_REPLACEMENT", "ROUTER_ADAPTED", "RANK_MISMATCH", "SIBLING_EXECUTABLE"]
+TOP_FINDINGS = 5
 SKIPPED = ["not_cached", "size_exceeded", "download_failed"]
 PERCENTAGES = [10.0, 25.0, 50.0, 75.0, 90.0, 95.0, 99.0]
 WARM_N, WARM_S, COLD_N, COLD_PER_MIN, MAX_MB = 1000, 120.0, 100, 100.0, 512.0
@@ -52,9 +53,13 @@ def route_record(cached: Column, size: Column, limit: Column, error: Column) ->
     return F.when(~cached, "not_cached").when(size > limit, "size_exceeded").when(error.isNotNull(), "download_failed")
 
 
+def first_of(entries: Column, n: int) -> Column:
+    return F.slice(entries, 1, n)
+
+
 def flat_record(results: DataFrame) -> DataFrame:
     """Survey rows of result documents."""
-    titles = F.transform(F.slice("findings", 1, 5), lambda f: F.left(F.concat(f["rule_id"], F.lit(": "), f["title"]), F.lit(120)))
+    titles = F.transform(first_of(F.col("findings"), TOP_FINDINGS), lambda f: F.left(F.concat(f["rule_id"], F.lit(": "), f["title"]), F.lit(120)))
     codes = F.transform(F.col("verdict.reasons"), lambda r: r["code"])
     return results.select(F.col("artifact.logical_id").alias("repo_id"), classify_record(F.col("status"), codes, F.col("verdict.action")).alias("status"), F.col("verdict.action").alias("action"), F.col("verdict.level").alias("level"), F.col("adapter.base_family").alias("base_family"), codes.alias("reason_codes"), F.col("anomaly.intra.max_robust_z").alias("max_robust_z"), F.col("scan.wall_time_ms").alias("wall_time_ms"), titles.alias("top_findings"))
 
@@ -95,7 +100,7 @@ def throughput(n: Column, wall_s: Column) -> Column:
 
 def flat_csv(rows: DataFrame, lists: dict[str, int]) -> DataFrame:
     """Rows with list columns joined, at most so many entries of each."""
-    return rows.withColumns({k: F.array_join(F.slice(k, 1, n), ",") for k, n in lists.items()})
+    return rows.withColumns({k: F.array_join(first_of(F.col(k), n), ",") for k, n in lists.items()})
 
 
 def change_marker(new: Column, old: Column, higher_is_better: bool) -> Column:

@@ -18,11 +18,10 @@ def hoyer(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def gini(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, gini of values that aren't negative."""
-    w = W.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_i", F.row_number().over(w.orderBy("_v")).cast("double"))
+    places = ranked(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), keys, ["_v"], "_i").withColumn("_i", F.col("_i").cast("double"))
     n, s = F.count("*").cast("double"), F.sum("_v")
     weighted = 2 * F.sum(F.col("_i") * F.col("_v")) - (n + 1) * s
-    return ranked.groupBy(*keys).agg(F.when((n >= 2) & (s > 0), weighted / (n * s)).alias("gini"))
+    return places.groupBy(*keys).agg(F.when((n >= 2) & (s > 0), weighted / (n * s)).alias("gini"))
 
 
 def top_share(df: DataFrame, keys: list[str], value: str, k: int = 8) -> DataFrame:
@@ -34,9 +33,20 @@ def top_share(df: DataFrame, keys: list[str], value: str, k: int = 8) -> DataFra
     return total.join(top, keys).select(*keys, F.when(F.col("_s") > 0, F.col("_t") / F.col("_s")).alias("top_share"))
 
 
+def position_medians(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """keys, pos, mid: the median at each position of a group's vectors."""
+    each = df.select(*keys, F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "_v"))
+    return each.groupBy(*keys, F.col("pos").cast("long").alias("pos")).agg(F.median("_v").alias("mid"))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str | Column], name: str) -> DataFrame:
+    """df with each row's place in its group, from 1."""
+    return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+
+
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int = 10) -> DataFrame:
     """The first k rows of each group, with rank."""
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+    return ranked(df, keys, order, "rank").where(F.col("rank") <= k)
 
 
 def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -26,6 +27,17 @@ def state_counts(manifest: DataFrame, keys: list[str] | None = None) -> DataFram
     return manifest.groupBy(*(keys or []), "state").agg(F.count("*").alias("n"))
 
 
+def transitions(events: DataFrame, key: str = "request_id", order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """before, after, n: how often a state follows another in the events of a key."""
+    steps = events.withColumn("before", F.lag("state").over(W.partitionBy(key).orderBy(*order))).where("before IS NOT NULL")
+    return steps.groupBy("before", F.col("state").alias("after")).agg(F.count("*").alias("n"))
+
+
+def hit_counts(hits: DataFrame, key: list[str], at: str) -> DataFrame:
+    """key, hits and the last hit of a cache's log: counted when asked for, so that a hit is one appended row."""
+    return hits.groupBy(*key).agg(F.count("*").alias("hits"), F.max(at).alias("last"))
+
+
 def resume(manifest: DataFrame) -> DataFrame:
     """Rows that aren't terminal go back to the queue with one retry more, or fail at the limit."""
     open_ = ~F.col("state").isin(TERMINAL)
@@ -36,10 +48,10 @@ def resume(manifest: DataFrame) -> DataFrame:
     return manifest.withColumns({"state": state, "error_message": message, "retry_count": retries.cast("int")})
 
 
-def queue(manifest: DataFrame, run_id: Column | None = None, most: int = QUEUE_BATCH) -> DataFrame:
-    """The next requests: a top-k of the queued ones by path."""
+def queue(manifest: DataFrame, run_id: Column | None = None, most: int = QUEUE_BATCH, order: tuple[str, ...] = ("adapter_path",)) -> DataFrame:
+    """The next requests: a top-k of the queued ones, by path unless another order is given."""
     q = manifest.where("state = 'queued'")
-    return (q if run_id is None else q.where(F.col("run_id") == run_id)).orderBy("adapter_path").limit(most)
+    return (q if run_id is None else q.where(F.col("run_id") == run_id)).orderBy(*order).limit(most)
 
 
 def expired_leases(manifest: DataFrame, now: Column) -> DataFrame:
@@ -67,6 +79,15 @@ def without_duplicates(requests: DataFrame, content: list[str] | None = None) ->
 CACHE_KEY = ["content_hash", "config_hash"]
 
 
+def payload_hash(payload: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(payload, 256))
+
+
+def intact(payload: Column, stored_hash: Column) -> Column:
+    """Whether a stored payload still is what was hashed when it was stored."""
+    return payload_hash(payload) == stored_hash
+
+
 def cache_probe(requests: DataFrame, cache: DataFrame, now: Column, schema_version: str, writer_version: str = WRITER_VERSION) -> DataFrame:
     """requests with cached (the stored payload, or null) and miss: why there is none. Age, version and integrity are checked on reading."""
     entry = cache.select(*CACHE_KEY, "schema_version", "writer_version", "cached_at", "ttl_days", "payload", "payload_hash")
@@ -75,7 +96,7 @@ def cache_probe(requests: DataFrame, cache: DataFrame, now: Column, schema_versi
         F.when(F.col("payload").isNull(), "absent")
         .when((F.col("schema_version") != schema_version) | (F.col("writer_version") != writer_version), "version")
         .when(ids.expired(F.col("cached_at"), now, F.col("ttl_days")), "expired")
-        .when(F.col("payload_hash") != F.concat(F.lit("sha256:"), F.sha2(F.col("payload"), 256)), "tampered")
+        .when(~intact(F.col("payload"), F.col("payload_hash")), "tampered")
     )
     out = joined.withColumn("miss", miss).withColumn("cached", F.when(F.col("miss").isNull(), F.col("payload")))
     return out.select(*requests.columns, "cached", "miss")
@@ -84,7 +105,7 @@ def cache_probe(requests: DataFrame, cache: DataFrame, now: Column, schema_versi
 def cache_rows(results: DataFrame, now: Column, schema_version: str, ttl_days: int | None = None) -> DataFrame:
     """What to store of results (content_hash, config_hash, status, payload); failed ones are not kept."""
     kept = results.where("status <> 'failed'").dropDuplicates(CACHE_KEY)
-    return kept.select(*CACHE_KEY, F.lit(schema_version).alias("schema_version"), F.lit(WRITER_VERSION).alias("writer_version"), now.alias("cached_at"), F.lit(ttl_days).cast("int").alias("ttl_days"), "payload", F.concat(F.lit("sha256:"), F.sha2(F.col("payload"), 256)).alias("payload_hash"))
+    return kept.select(*CACHE_KEY, F.lit(schema_version).alias("schema_version"), F.lit(WRITER_VERSION).alias("writer_version"), now.alias("cached_at"), F.lit(ttl_days).cast("int").alias("ttl_days"), "payload", payload_hash(F.col("payload")).alias("payload_hash"))
 
 
 def cache_stats(cache: DataFrame, hits: DataFrame) -> DataFrame:

@@ -35,8 +35,7 @@ def adapter_vector(spark, d):
 
 @query("robust_center", "SELECT label, pos, round(median(v), 6) AS mid FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) t GROUP BY ALL")
 def robust_center(spark, d):
-    each = table(spark, d, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "v"))
-    return each.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(r6(F.median("v")).alias("mid"))
+    return grouped.position_medians(table(spark, d, "embeddings"), ["label"], "embedding").withColumn("mid", r6("mid"))
 
 
 MU = [(i % 5 - 2) / 100 for i in range(64)]
@@ -264,9 +263,8 @@ def anti_completed(spark, d):
 
 @query("queue_fetch", f"SELECT request_id AS adapter_path, event_id FROM {EVENTS.sql} e WHERE state = 'queued' ORDER BY request_id, event_id LIMIT 256")
 def queue_fetch(spark, d):
-    m = _events(spark, d).withColumn("adapter_path", F.concat("request_id", F.lpad(F.col("event_id").cast("string"), 12, F.lit(" "))))
-    q = m.where("state = 'queued'").orderBy("request_id", "event_id").limit(state.QUEUE_BATCH)
-    return q.select(F.col("request_id").alias("adapter_path"), "event_id")
+    m = _events(spark, d).withColumnRenamed("request_id", "adapter_path")
+    return state.queue(m, order=("adapter_path", "event_id")).select("adapter_path", "event_id")
 
 
 @query("state_upsert", "SELECT CAST(o_orderkey AS BIGINT) AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE o_orderstatus END AS state FROM orders")

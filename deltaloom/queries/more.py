@@ -80,7 +80,7 @@ def delta_inner(spark, d):
 
 @query("win_rank_gini", f"SELECT g, k, row_number() OVER (PARTITION BY g ORDER BY v, k)::INTEGER AS i FROM {COINS.sql} c")
 def win_rank_gini(spark, d):
-    return COINS.df(spark, d).withColumn("i", F.row_number().over(W.partitionBy("g").orderBy("v", "k"))).select("g", "k", "i")
+    return grouped.ranked(COINS.df(spark, d), ["g"], ["v", "k"], "i").select("g", "k", "i")
 
 
 @query("win_first_per_key", f"SELECT g, min(k) AS k FROM {ORDERS.sql} o GROUP BY g")
@@ -136,20 +136,18 @@ def esr_score(spark, d):
 @query("state_machine", f"SELECT a.state AS before, b.state AS after, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ts, event_id) AS i FROM {EVENTS.sql} e) a JOIN (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ts, event_id) AS i FROM {EVENTS.sql} e) b ON a.request_id = b.request_id AND b.i = a.i + 1 GROUP BY ALL")
 def state_machine(spark, d):
     """Transitions between states."""
-    w = W.partitionBy("request_id").orderBy("ts", "event_id")
-    e = _events(spark, d).withColumn("before", F.lag("state").over(w)).where("before IS NOT NULL")
-    return e.groupBy("before", F.col("state").alias("after")).agg(F.count("*").alias("n"))
+    return state.transitions(_events(spark, d), order=("ts", "event_id"))
 
 
 @query("state_cache_integrity", "SELECT doc_id, sha256(text) = sha256(CASE WHEN doc_id % 5 = 0 THEN concat(text, ' ') ELSE text END) AS intact FROM documents")
 def cache_integrity(spark, d):
-    stored = F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text")), 256)
-    return table(spark, d, "documents").select("doc_id", (F.sha2("text", 256) == stored).alias("intact"))
+    stored = state.payload_hash(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", state.intact(F.col("text"), stored).alias("intact"))
 
 
 @query("state_hit_count", f"SELECT request_id, count(*) AS hits, max(event_id) AS last FROM {EVENTS.sql} e WHERE state = 'persisted' GROUP BY request_id")
 def hit_count(spark, d):
-    return _events(spark, d).where("state = 'persisted'").groupBy("request_id").agg(F.count("*").alias("hits"), F.max("event_id").alias("last"))
+    return state.hit_counts(_events(spark, d).where("state = 'persisted'"), ["request_id"], "event_id")
 
 
 @query("sink_dispatch", f"SELECT CASE WHEN state = 'failed' THEN 'failed' WHEN retry_count = 0 THEN 'cached_hit' ELSE 'persisted' END AS sink, count(*) AS n FROM {LATEST_SQL} l GROUP BY 1")
@@ -175,7 +173,7 @@ def record_route(spark, d):
 @query("record_flatten", f"SELECT doc_id, array_to_string(codes[1:5], ',') AS titles, len(codes)::INTEGER AS n FROM {CODED_SQL} c")
 def record_flatten(spark, d):
     c = _coded(spark, d)
-    return c.select("doc_id", F.array_join(F.slice("codes", 1, 5), ",").alias("titles"), F.size("codes").alias("n"))
+    return c.select("doc_id", F.array_join(corpus.first_of(F.col("codes"), corpus.TOP_FINDINGS), ",").alias("titles"), F.size("codes").alias("n"))
 
 
 @query("report_text", "SELECT scan_id, string_agg(severity, ',' ORDER BY array_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'], severity), event_id) AS severities FROM (SELECT user_id AS scan_id, event_id, CASE event_type WHEN 'click' THEN 'LOW' WHEN 'view' THEN 'MEDIUM' WHEN 'purchase' THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM events) t GROUP BY scan_id")
@@ -237,7 +235,7 @@ def family_match(spark, d):
 @query("from_dict_tolerant", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def tolerant(spark, d):
     """Unknown fields are dropped, missing ones are null."""
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k int, other string")["k"].alias("k"))
+    return table(spark, d, "events").select("event_id", documents.tolerant("props", "k int, other string")["k"].alias("k"))
 
 
 @query("eval_format", "SELECT o_orderkey AS k, CASE WHEN o_totalprice = o_custkey * 100 THEN '=' WHEN o_totalprice < o_custkey * 100 THEN '+' ELSE '-' END AS marker FROM orders")

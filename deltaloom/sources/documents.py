@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DUMP = "repo string, family string, base string, n_layers int, rank int, modules array<struct<m:string,l:int,e:int,k:string,f:map<string,double>>>"
@@ -14,9 +14,19 @@ MAJOR = "2."
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines that fit the schema, with `ordinal`; blank and broken ones are skipped."""
     text = spark.read.text(path).withColumn("ordinal", F.monotonically_increasing_id())
-    doc = F.from_json("value", schema)
-    sound = F.trim("value").startswith("{") & F.try_parse_json("value").isNotNull()
-    return text.where(sound).select(doc.alias("d"), "ordinal").select("d.*", "ordinal")
+    return sound_rows(text, schema)
+
+
+def tolerant(text: str, schema: str) -> Column:
+    """The fields of the schema: unknown ones are dropped, missing ones are null."""
+    return F.from_json(text, schema)
+
+
+def sound_rows(lines: DataFrame, schema: str, text: str = "value") -> DataFrame:
+    """The fields of the schema and the other columns, of lines that hold an object."""
+    sound = F.trim(text).startswith("{") & F.try_parse_json(text).isNotNull()
+    rest = [c for c in lines.columns if c != text]
+    return lines.where(sound).select(tolerant(text, schema).alias("_d"), *rest).select("_d.*", *rest)
 
 
 def metrics(spark: SparkSession, path: str) -> DataFrame:
