@@ -39,6 +39,16 @@ def position_medians(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return each.groupBy(*keys, F.col("pos").cast("long").alias("pos")).agg(F.median("_v").alias("mid"))
 
 
+def depth(layer: str, keys: list[str]) -> Column:
+    """How many layers a row's group has: its highest layer, from 0, and one."""
+    return F.max(layer).over(W.partitionBy(*keys)) + 1
+
+
+def apart(start: str, end: str, keys: list[str]) -> Column:
+    """Whether a row does not begin where the one before it in its group ends; the first begins at 0."""
+    return F.col(start) != F.lag(end, 1, 0).over(W.partitionBy(*keys).orderBy(start, end))
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str | Column], name: str) -> DataFrame:
     """df with each row's place in its group, from 1."""
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))

@@ -36,6 +36,21 @@ def finding(rule: str, severity: str, title, message, evidence: Column | None =
         (F.array() if locations is None else locations).cast(f"array<{LOCATION}>").alias("locations"), F.lit(remediation).cast("string").alias("remediation")).cast(FINDING)
 
 
+def unexpected(found: Column, declared: Column) -> Column:
+    """Modules that are there but not declared, in order."""
+    return F.array_sort(F.array_except(found, declared))
+
+
+def all_saved(full: Column, declared: Column) -> Column:
+    """Modules that are stored whole: those found and those declared, in order."""
+    return F.array_sort(F.array_union(full, declared))
+
+
+def ranks_differ(ranks: Column, declared: Column) -> Column:
+    """Whether the ranks found, in order and each once, are anything but the declared one."""
+    return ranks != F.array(declared)
+
+
 def structural(row: dict[str, Column]) -> tuple[Column, Column, Column]:
     """findings, red flags and limits from: config, problems, siblings, full (array<struct<key,shape,location>>), routers (of pairs' locations with keys),
     ranks, has_dora, unresolved, modules (actual), token_keys."""
@@ -45,9 +60,9 @@ def structural(row: dict[str, Column]) -> tuple[Column, Column, Column]:
     keys = lambda a: F.slice(F.transform(a, lambda w: w["key"]), 1, SHOWN)
     places = lambda a: F.slice(F.transform(a, lambda w: location(w["location"]["layer"], w["location"]["module"], w["location"]["expert"], w["key"])), 1, SHOWN)
     declared = cfg["r"]
-    mismatch = declared.isNotNull() & (F.size(cfg["rank_pattern"]) == 0) & (F.size(row["ranks"]) > 0) & (row["ranks"] != F.array(declared))
-    unexpected = F.array_sort(F.array_except(row["modules"], cfg["target_modules"]))
-    unmatched = cfg.isNotNull() & (F.size(cfg["target_modules"]) > 0) & (F.size(unexpected) > 0) & ~F.array_contains(cfg["target_modules"], "all-linear")
+    mismatch = declared.isNotNull() & (F.size(cfg["rank_pattern"]) == 0) & (F.size(row["ranks"]) > 0) & ranks_differ(row["ranks"], declared)
+    extra = unexpected(row["modules"], cfg["target_modules"])
+    unmatched = cfg.isNotNull() & (F.size(cfg["target_modules"]) > 0) & (F.size(extra) > 0) & ~F.array_contains(cfg["target_modules"], "all-linear")
     dora = row["has_dora"] | F.coalesce(cfg["use_dora"], F.lit(False))
     listed = lambda a: F.array_join(a, ", ")
     rules = [
@@ -59,7 +74,7 @@ def structural(row: dict[str, Column]) -> tuple[Column, Column, Column]:
         (dora, finding("DORA_PARTIAL_ANALYSIS", "LOW", "DoRA is analysed in part", "Only the low-rank part is analysed without the base model")),
         (row["unresolved"], finding("UNRESOLVED_SCALE_PATTERN", "LOW", "A scale pattern is not resolved", "Patterns that aren't literal are never run; the default scale was used")),
         (F.size(row["problems"]) > 0, finding("CONFIG_FIELDS_IGNORED", "LOW", "Fields of the configuration were ignored", F.array_join(F.slice(row["problems"], 1, TOP), "; "))),
-        (unmatched, finding("TARGET_MODULES_MISMATCH", "LOW", "Modules differ from target_modules", listed(unexpected), F.struct(F.array_sort(cfg["target_modules"]).alias("declared"), unexpected.alias("unexpected")))),
+        (unmatched, finding("TARGET_MODULES_MISMATCH", "LOW", "Modules differ from target_modules", listed(extra), F.struct(F.array_sort(cfg["target_modules"]).alias("declared"), extra.alias("unexpected")))),
         (F.size(row["token_keys"]) > 0, finding("TRAINABLE_TOKENS", "LOW", "Single token embeddings are changed", "Token deltas are present", F.struct(F.slice(row["token_keys"], 1, SHOWN).alias("tensors")))),
     ]
     found = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), f) for c, f in rules)))

@@ -125,6 +125,11 @@ def compare_with_stored(new: DataFrame, stored: DataFrame, key: str = "scan_id",
     return new.join(old, key, "left").select(key, outcome.alias("outcome"))
 
 
+def outcome(status: Column, cached: Column) -> Column:
+    """Where a result goes: failed ones are only logged, cached ones are not stored again."""
+    return F.when(status == "failed", "failed").when(cached, "cached_hit").otherwise("persisted")
+
+
 def run_summary(results: DataFrame) -> DataFrame:
     """run_id, n, and how many of the last result of each scan say allow, review and block."""
     last = latest(results.select("scan_id", "run_id", "action", "completed_at"), "scan_id", ("completed_at",))

@@ -105,8 +105,8 @@ def run(work: Workspace, paths: DataFrame, settings: scans.Settings = scans.Sett
     work.append(state.cache_rows(rows.where("content_hash IS NOT NULL"), F.current_timestamp(), scans.SCHEMA_VERSION), "cache")
     names = keyed.select("path", "request_id", "run_id", "retry_count")
     none = F.lit(None).cast("string")
-    done = new.join(compared.withColumnRenamed("outcome", "stored"), "scan_id", "left").select("path", F.when(F.col("status") == "failed", "failed").otherwise("persisted").alias("outcome"), "status", "action", "stored")
-    done = done.unionByName(again.select("path", F.lit("cached_hit").alias("outcome"), "status", "action", F.lit("unchanged").alias("stored")))
+    done = new.join(compared.withColumnRenamed("outcome", "stored"), "scan_id", "left").select("path", state.outcome(F.col("status"), F.lit(False)).alias("outcome"), "status", "action", "stored")
+    done = done.unionByName(again.select("path", state.outcome(F.col("status"), F.lit(True)).alias("outcome"), "status", "action", F.lit("unchanged").alias("stored")))
     done = done.unionByName(keyed.where("state = 'skipped_duplicate'").select("path", F.col("state").alias("outcome"), none.alias("status"), none.alias("action"), none.alias("stored")))
     out = work.written(names.join(done, "path"), "outcomes")
     work.append(event(out, F.col("outcome")), "manifest")

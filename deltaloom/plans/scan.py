@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import config as configs
 from ..functions import ids, names, stats
-from ..operators import compare, inventory, lowrank, profile, rules
+from ..operators import compare, grouped, inventory, lowrank, profile, rules
 from ..sources import listing, tensorfile
 
 # Fixed values.
@@ -88,7 +88,7 @@ def scan(paths: DataFrame, settings: Settings = Settings(), profiles: Profiles |
     z = written(compare.family_z(ok), "z")
     per_module = written(compare.module_z(z), "module-z")
     intra = compare.summary(ok, z, per_module)
-    depth = ok.select("path", "base", "module", "b_key", (F.max("layer").over(W.partitionBy("path", "stack")) + 1).alias("n_layers"))
+    depth = ok.select("path", "base", "module", "b_key", grouped.depth("layer", ["path", "stack"]).alias("n_layers"))
     intra_findings = rules.concentration_findings(per_module, depth)
     vectors = written(lowrank.vectors(tensors, "dora").withColumn("kind", F.lit("dora")).unionByName(lowrank.vectors(tensors, "token_delta").withColumn("kind", F.lit("token_delta"))), "vectors")
     dora = rules.vector_findings(vectors.where("kind = 'dora'"), "DORA_MAGNITUDE").withColumnRenamed("found", "dora_findings")
@@ -146,7 +146,7 @@ def scan(paths: DataFrame, settings: Settings = Settings(), profiles: Profiles |
         F.lit("peft_lora").alias("format"), F.coalesce("config.peft_type", F.try_element_at("metadata", F.lit("peft_type"))).alias("peft_type"), F.col("base_model").alias("base_model_declared"), names.base_family(F.col("base_model")).alias("base_family"), F.when(F.col("base_model").isNotNull(), "config").otherwise("unknown").alias("base_family_source"),
         F.col("n_layers").alias("n_model_layers"), "rank_declared", F.struct(F.array_min("ranks").alias("min"), F.array_max("ranks").alias("max"), F.col("ranks").alias("distinct")).alias("rank_actual"), F.col("config.lora_alpha").alias("lora_alpha"), rules.scaling(F.col("config")).alias("scaling"), F.col("config.init_lora_weights").alias("init_method"),
         (F.col("has_dora") | F.coalesce("config.use_dora", F.lit(False))).alias("use_dora"), _array("config.target_modules", "string").alias("target_modules_declared"), F.col("target_actual").alias("target_modules_actual"),
-        F.array_sort(F.array_union(F.transform("full", lambda x: x["location"]["module"]), _array("config.modules_to_save", "string"))).alias("modules_to_save"), ((F.size("token_keys") > 0) | F.coalesce("config.trainable_token_indices", F.lit(False))).alias("trainable_token_indices"),
+        rules.all_saved(F.transform("full", lambda x: x["location"]["module"]), _array("config.modules_to_save", "string")).alias("modules_to_save"), ((F.size("token_keys") > 0) | F.coalesce("config.trainable_token_indices", F.lit(False))).alias("trainable_token_indices"),
         F.when(F.col("max_expert").isNotNull(), F.struct((F.col("max_expert") + 1).alias("n_experts"), (F.size("routers") > 0).alias("router_adapted"))).alias("moe"), rules.training_state(F.col("n_ok"), F.col("n_zero")).alias("training_state"), (F.size("metadata") > 0).alias("metadata_present"), F.col("config").isNotNull().alias("config_present")))
     coverage = F.struct(F.coalesce("n_tensors", F.lit(0)).alias("n_tensors_total"), (2 * F.col("n_ok") + F.col("n_vectors")).cast("int").alias("n_tensors_analyzed"), "n_modules", F.col("n_ok").alias("n_modules_analyzed"), F.col("n_not").cast("int").alias("n_not_analyzed"), "not_analyzed", _array("non_finite_modules", "string").alias("non_finite_modules"))
     anomaly = F.struct(F.when(~failed, F.col("intra")).alias("intra"), F.when(~failed, F.col("reference")).alias("reference"), "token_concentration", F.when(~failed, F.col("top_contributors")).alias("top_contributors"))

@@ -190,20 +190,20 @@ def adapter_info(spark, d):
 @query("set_unexpected_modules", "SELECT o_custkey AS k, array_to_string(list_sort(list_distinct(list(o_orderpriority) FILTER (WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')))), ',') AS unexpected FROM orders GROUP BY o_custkey HAVING count(*) FILTER (WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) > 0")
 def unexpected(spark, d):
     a = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set("o_orderpriority").alias("m"))
-    out = a.select("k", F.array_sort(F.array_except("m", F.array(F.lit("1-URGENT"), F.lit("2-HIGH")))).alias("unexpected"))
+    out = a.select("k", rules.unexpected(F.col("m"), F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))).alias("unexpected"))
     return out.where(F.size("unexpected") > 0).select("k", F.array_join("unexpected", ",").alias("unexpected"))
 
 
 @query("set_modules_to_save", "SELECT o_custkey AS k, array_to_string(list_sort(list_distinct(list_concat(list(o_orderpriority), ['x', '2-HIGH']))), ',') AS saved FROM orders GROUP BY o_custkey")
 def modules_to_save(spark, d):
     a = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set("o_orderpriority").alias("m"))
-    return a.select("k", F.array_join(F.array_sort(F.array_union("m", F.array(F.lit("x"), F.lit("2-HIGH")))), ",").alias("saved"))
+    return a.select("k", F.array_join(rules.all_saved(F.col("m"), F.array(F.lit("x"), F.lit("2-HIGH"))), ",").alias("saved"))
 
 
 @query("set_rank_mismatch", "SELECT l_orderkey AS k, list_sort(list_distinct(list(l_linenumber))) <> [1] AS mismatch FROM lineitem GROUP BY l_orderkey")
 def rank_mismatch(spark, d):
     a = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_set("l_linenumber")).alias("m"))
-    return a.select("k", (F.col("m") != F.array(F.lit(1).cast(a.schema["m"].dataType.elementType))).alias("mismatch"))
+    return a.select("k", rules.ranks_differ(F.col("m"), F.lit(1).cast(a.schema["m"].dataType.elementType)).alias("mismatch"))
 
 
 @query("set_other_full", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")

@@ -2,7 +2,6 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import config, ids, names, stats
@@ -53,7 +52,7 @@ def max_concentration_z(spark, d):
 def topk_conc_findings(spark, d):
     m = modules(spark, d)
     per = compare.module_z(compare.family_z(m))
-    depth = m.select("base", (F.max("layer").over(W.partitionBy("path", "module")) + 1).alias("depth"))
+    depth = m.select("base", grouped.depth("layer", ["path", "module"]).alias("depth"))
     found = per.where("concentration_z >= 1.0").join(depth, "base").withColumn("vec_id", F.col("base").cast("long"))
     return found.orderBy(F.desc("concentration_z"), "vec_id").limit(10).select("vec_id", r6("concentration_z").alias("z"), stats.is_edge_layer(F.col("layer"), F.col("depth")).alias("edge"))
 
@@ -90,13 +89,13 @@ def win_first_per_key(spark, d):
 
 @query("win_edge_depth", "SELECT p_partkey AS n, max(p_size) OVER (PARTITION BY p_brand) + 1 AS depth FROM part")
 def win_edge_depth(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("n"), (F.max("p_size").over(W.partitionBy("p_brand")) + 1).alias("depth"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("n"), grouped.depth("p_size", ["p_brand"]).alias("depth"))
 
 
 @query("win_offsets_contiguous", "SELECT o_custkey AS f, count(*) FILTER (WHERE gap) AS n_gaps FROM (SELECT o_custkey, o_orderkey <> lag(o_orderkey, 1, 0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS gap FROM orders) t GROUP BY o_custkey")
 def win_offsets(spark, d):
-    before = F.lag("o_orderkey", 1, 0).over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return table(spark, d, "orders").withColumn("gap", F.col("o_orderkey") != before + 1).groupBy(F.col("o_custkey").alias("f")).agg(F.count_if("gap").alias("n_gaps"))
+    o = table(spark, d, "orders").select("o_custkey", (F.col("o_orderkey") - 1).alias("s"), F.col("o_orderkey").alias("e"))
+    return o.withColumn("gap", grouped.apart("s", "e", ["o_custkey"])).groupBy(F.col("o_custkey").alias("f")).agg(F.count_if("gap").alias("n_gaps"))
 
 
 @query("topk_tokens", "SELECT label, pos, r AS rank FROM (SELECT label, pos, row_number() OVER (PARTITION BY label ORDER BY e DESC, pos DESC)::INTEGER AS r FROM (SELECT label, pos, sum(v * v) AS e FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) t GROUP BY ALL) u) w WHERE r <= 10")
@@ -153,8 +152,7 @@ def hit_count(spark, d):
 @query("sink_dispatch", f"SELECT CASE WHEN state = 'failed' THEN 'failed' WHEN retry_count = 0 THEN 'cached_hit' ELSE 'persisted' END AS sink, count(*) AS n FROM {LATEST_SQL} l GROUP BY 1")
 def sink_dispatch(spark, d):
     last = state.latest(_events(spark, d), order=("ts", "event_id"))
-    sink = F.when(F.col("state") == "failed", "failed").when(F.col("retry_count") == 0, "cached_hit").otherwise("persisted")
-    return last.groupBy(sink.alias("sink")).agg(F.count("*").alias("n"))
+    return last.groupBy(state.outcome(F.col("state"), F.col("retry_count") == 0).alias("sink")).agg(F.count("*").alias("n"))
 
 
 @query("sink_cache", "SELECT DISTINCT 'sha256:' || sha256(text) AS content_hash, lang AS config_hash FROM documents WHERE doc_id % 7 <> 0")

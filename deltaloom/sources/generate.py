@@ -10,7 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .tensorfile import local, write
+from .files import local
+from .tensorfile import write
 
 # Projections as (block, outputs, inputs), and the kinds of attack.
 LAYOUT = {"q_proj": ("self_attn", 128, 128), "k_proj": ("self_attn", 64, 128), "v_proj": ("self_attn", 64, 128), "o_proj": ("self_attn", 128, 128), "gate_proj": ("mlp", 256, 128), "up_proj": ("mlp", 256, 128), "down_proj": ("mlp", 512, 256)}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import config, ids
-from .tensorfile import local
+from . import files
 
 # Fixed values.
 CONFIG_NAME = "adapter_config.json"
@@ -55,8 +54,8 @@ def resolved(paths: DataFrame) -> DataFrame:
             rows = []
             for path, ordinal in zip(batch["path"], batch["ordinal"], strict=True):
                 try:
-                    real = os.path.realpath(local(path), strict=True)
-                    rows.append((real, ordinal, os.path.isfile(real)))
+                    real = files.real(path)
+                    rows.append((real, ordinal, files.size_if_regular(real) is not None))
                 except OSError:
                     continue
             yield pd.DataFrame(rows, columns=["path", "ordinal", "is_file"])
@@ -71,22 +70,22 @@ def beside(paths: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path in batch["path"]:
-                own, text, problem, names = local(path), None, None, []
-                where = os.path.dirname(own) or "."
+                text, problem, names = None, None, []
                 try:
-                    with os.scandir(where) as it:
-                        for _, e in zip(range(MAX_SIBLINGS), it, strict=False):
-                            if e.is_file() and e.name != os.path.basename(own):
-                                names.append(e.name)
-                    file = os.path.join(where, CONFIG_NAME)
-                    if os.path.isfile(file):
-                        if os.path.getsize(file) > config.MAX_BYTES:
+                    names += files.names_beside(path, MAX_SIBLINGS)
+                    file = files.beside(path, CONFIG_NAME)
+                    try:
+                        size = files.size_if_regular(file)
+                    except FileNotFoundError:
+                        pass
+                    else:
+                        if size is None:
+                            problem = f"{CONFIG_NAME}: not a regular file"
+                        elif size > config.MAX_BYTES:
                             problem = f"{CONFIG_NAME}: larger than {config.MAX_BYTES} bytes"
                         else:
-                            with open(file, encoding="utf-8") as f:
-                                text = f.read()
-                    elif os.path.exists(file):
-                        problem = f"{CONFIG_NAME}: not a regular file"
+                            with files.opened(file) as f:
+                                text = f.read().decode()
                 except (OSError, UnicodeDecodeError) as e:
                     problem = f"{CONFIG_NAME}: unreadable ({type(e).__name__})"
                 rows.append((path, text, problem, sorted(names)))

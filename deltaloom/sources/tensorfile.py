@@ -4,7 +4,8 @@ Files are listed, not loaded: rows carry paths and byte ranges, and the task tha
 a file of any size is read with the memory of one pair of tensors. What a file claims is checked before
 anything is allocated, and whatever is wrong becomes a row with a reason, never a failed job.
 
-Paths are opened by the executors, so they must be on a file system that these share; a path that no executor can open is such a row too.
+Paths are opened by the executors: local ones must be on a file system that these share, URIs are read through Arrow. A path that
+no executor can open is such a row too.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import stat
 import struct
 from collections.abc import Iterator
 
@@ -20,7 +20,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from ..operators import grouped
+from . import files
 
 # Limits of the format's reader.
 MAX_FILE = 64 << 30
@@ -36,30 +38,27 @@ HEADER_SCHEMA = "path string, length long, data_offset long, header string, erro
 ENTRY = "struct<dtype:string,shape:array<bigint>,data_offsets:array<bigint>>"
 
 
-def local(path: str) -> str:
-    return path[5:] if path.startswith("file:") else path
-
-
 def guard(path: str) -> str | None:
     """Why a path may not be read, or None."""
     try:
-        real = os.path.realpath(local(path), strict=True)
-        s = os.stat(real)
+        real = files.real(path)
+        size = files.size_if_regular(real)
     except OSError as e:
-        return f"unreadable: {e.strerror}"
-    if not stat.S_ISREG(s.st_mode):
+        return f"unreadable: {e.strerror or e}"
+    if size is None:
         return "not a regular file"
-    if os.path.splitext(real)[1] not in SUFFIXES and os.path.splitext(local(path))[1] not in SUFFIXES:
+    if os.path.splitext(real)[1] not in SUFFIXES and os.path.splitext(path)[1] not in SUFFIXES:
         return "unsupported suffix"
-    return "file too large" if s.st_size > MAX_FILE else None
+    return "file too large" if size > MAX_FILE else None
 
 
 def read_header(path: str) -> tuple[str, int, int]:
     """The header's text, where the data begins, and the file's size; ValueError if any of it can't be."""
     if why := guard(path):
         raise ValueError(why)
-    with open(local(path), "rb") as f:
-        size = os.fstat(f.fileno()).st_size
+    with files.opened(path) as f:
+        size = f.seek(0, os.SEEK_END)
+        f.seek(0)
         head = f.read(8)
         if len(head) < 8:
             raise ValueError("file shorter than its header length")
@@ -135,8 +134,7 @@ def inconsistent(tensors: DataFrame) -> DataFrame:
     """path and reason of files whose tensors do not tile their data: gaps, overlaps, or bytes left over."""
     o = lambda i: F.get(F.col("data_offsets"), F.lit(i))
     t = tensors.where(F.size("data_offsets") == 2).select("path", (F.col("length") - F.col("data_offset")).alias("size"), o(0).alias("s"), o(1).alias("e"))
-    before = F.lag("e", 1, 0).over(W.partitionBy("path").orderBy("s", "e"))
-    bad = t.withColumn("gap", F.col("s") != before).groupBy("path").agg(F.max(F.col("gap").cast("int")).alias("gap"), F.max("e").alias("last"), F.first("size").alias("size"))
+    bad = t.withColumn("gap", grouped.apart("s", "e", ["path"])).groupBy("path").agg(F.max(F.col("gap").cast("int")).alias("gap"), F.max("e").alias("last"), F.first("size").alias("size"))
     return bad.where("gap = 1 OR last <> size").select("path", F.when(F.col("gap") == 1, "tensors do not follow each other").otherwise("data after the last tensor").alias("reason"))
 
 
@@ -151,7 +149,7 @@ def decode(raw: bytes, dtype: str, shape: list[int]) -> np.ndarray:
 
 def load(path: str, data_offset: int, dtype: str, shape, data_offsets) -> np.ndarray:
     a, b = int(data_offsets[0]), int(data_offsets[1])
-    with open(local(path), "rb") as f:
+    with files.opened(path) as f:
         f.seek(data_offset + a)
         raw = f.read(b - a)
     if len(raw) != b - a:
@@ -179,11 +177,6 @@ def write(path: str, tensors: dict[str, np.ndarray], meta: dict[str, str] | None
         f.write(struct.pack("<Q", len(text)) + text + b"".join(data))
 
 
-def snapshot(path: str) -> str:
-    s = os.stat(local(path))
-    return f"{s.st_dev}:{s.st_ino}:{s.st_size}:{s.st_mtime_ns}:{s.st_ctime_ns}"
-
-
 def identity(paths: DataFrame) -> DataFrame:
     """path, content_hash, header_hash, file_size_bytes, state (to see later whether the file changed); hashes are null if it can't be read."""
 
@@ -194,8 +187,8 @@ def identity(paths: DataFrame) -> DataFrame:
                 try:
                     if guard(path):
                         raise OSError
-                    state, whole = snapshot(path), hashlib.sha256()
-                    with open(local(path), "rb") as f:
+                    state, whole = files.snapshot(path), hashlib.sha256()
+                    with files.opened(path) as f:
                         (n,) = struct.unpack("<Q", f.read(8).ljust(8, b"\0"))
                         head = f.read(n) if n <= MAX_HASHED_HEADER else b""
                         f.seek(0)
@@ -217,7 +210,7 @@ def changed(identities: DataFrame) -> DataFrame:
         for batch in batches:
             def now(p: str) -> str | None:
                 try:
-                    return snapshot(p)
+                    return files.snapshot(p)
                 except OSError:
                     return None
 

@@ -190,3 +190,28 @@ def test_codec_and_hostile_entries(spark, tmp_path):
     problems = {r["key"]: r["problem"] for r in tensorfile.checked(tensorfile.entries(heads)).collect()}
     assert all(problems.values()) and len(problems) == 5
     assert heads.where("error IS NOT NULL").count() == 1
+
+
+def test_files_by_uri(tmp_path, monkeypatch):
+    """A path on another file system gives what the same local path gives."""
+    from deltaloom.sources import files
+    from pyarrow import fs
+
+    a = tmp_path / "a.safetensors"
+    tensorfile.write(str(a), {"x": np.arange(6, dtype="f4").reshape(2, 3)})
+    (tmp_path / "adapter_config.json").write_text("{}")
+    inside = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    by_uri = lambda p: (inside, p.removeprefix("store://")) if p.startswith("store://") else None
+    monkeypatch.setattr(files, "place", by_uri)
+    uri = "store://a.safetensors"
+    assert tensorfile.guard(uri) is None and tensorfile.read_header(uri) == tensorfile.read_header(str(a))
+    at = tensorfile.read_header(uri)[1]
+    assert tensorfile.load(uri, at, "F32", [2, 3], [0, 24]).tolist() == [[0, 1, 2], [3, 4, 5]]
+    assert list(files.names_beside(uri, 10)) == list(files.names_beside(str(a), 10)) == ["adapter_config.json"]
+    assert files.opened(files.beside(uri, "adapter_config.json")).read() == b"{}"
+    assert tensorfile.guard("store://b.safetensors").startswith("unreadable") and "regular" in tensorfile.guard("store://")
+    before = files.snapshot(uri)
+    a.write_bytes(a.read_bytes() + b"x")
+    assert files.snapshot(uri) != before
+    monkeypatch.undo()
+    assert tensorfile.guard("nowhere://x.safetensors").startswith("unreadable")
