@@ -215,7 +215,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
   SELECT doc_id, n, repeats,
     len(regexp_extract_all(l, '[#*$%&|<>!?]')) > {SYMBOLS_PER_WORD} * n OR (n < {SHORT_LINE} AND NOT regexp_matches(lw[-1], '([.!?:;"'')\\]}}]|[^\\x00-\\x7F])$')) AS punctuation,
     len(list_filter(lw, lambda x: x IN ('|', '>', '/', '*'))) >= 2 AND len(list_filter(lw, lambda x: x IN ('|', '>', '/', '*'))) * {SEPARATOR_SHARE} >= n AS navigation,
-    len(list_filter(range(1, n), lambda i: translate(trimmed[i] || ' ' || trimmed[i + 1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN ({_PHRASES}))) > 0 AS boilerplate,
+    n <= {PHRASE_LINE} AND len(list_filter(range(1, n), lambda i: translate(trimmed[i] || ' ' || trimmed[i + 1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN ({_PHRASES}))) > 0 AS boilerplate,
     len(list_filter(range(1, n), lambda i: lw[i] = lw[i + 1])) > n / 3.0::DOUBLE AS stutter
   FROM worded
 ), s AS (

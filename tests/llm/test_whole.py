@@ -4,7 +4,9 @@ import re
 import string
 from collections import defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -50,6 +52,20 @@ def test_long_clean_lines_with_a_phrase_stay(spark):
     assert got == {1: clean, 2: clean}
 
 
+def test_line_rules_sql(spark):
+    """On generated rows, and on lines at the bound of a phrase's line."""
+    line = lambda n: " ".join(f"word{i}" for i in range(n - 2)) + " log in."
+    made = [(i, "\n".join([line(n), "Some words in a line that is long enough to end in a stop.", line(n + 1)])) for i, n in enumerate((line_rules.PHRASE_LINE - 1, line_rules.PHRASE_LINE, line_rules.PHRASE_LINE + 1))]
+    documents = pd.DataFrame([*made, (7, None), (8, ""), (9, "Home | About | Log in | Help\n" * 3)], columns=["doc_id", "text"])
+    sql = duckdb.connect()
+    sql.register("documents", documents)
+    want = sql.execute(line_rules.ORACLE).fetchdf()
+    got = line_rules.line_rules(spark.createDataFrame(documents.astype(object).where(documents.notna(), None), "doc_id long, text string")).toPandas()
+    assert want["n_boilerplate"].sum() > 0 and sorted(want.columns) == sorted(got.columns)
+    key = sorted(got.columns)
+    assert sorted(got[key].itertuples(index=False, name=None)) == sorted(want[key].itertuples(index=False, name=None))
+
+
 def test_without_a_model_texts_with_a_letter_stay(spark):
     rows = [(1, "clean text"), (2, "日本語"), (3, None), (4, ""), (5, "12 + 3")]
     assert sorted(r["doc_id"] for r in language_id.known(spark.createDataFrame(rows, "doc_id long, text string"), None).collect()) == [1, 2]
