@@ -22,30 +22,27 @@ def long_features(modules: DataFrame, id_cols: list[str]) -> DataFrame:
     return modules.select(*id_cols, F.inline(each)).where("value IS NOT NULL")
 
 
-#: Members up to which the slopes of all pairs of a family are one array; those of larger ones are rows.
-ARRAY_FAMILY = 1024
-
-
 def family_z(modules: DataFrame, keys: tuple[str, ...] = ("path",), least: int = stats.MIN_FAMILY) -> DataFrame:
     """keys, base, family, feature, layer, expert, raw, z of every module in a family of at least `least` usable values.
 
     A family's values meet in one array, in a single shuffle; its Theil-Sen line over the layers (from MIN_DETREND values on, all with
-    a layer), its median and its scale are array expressions. A family is a part of one file, so the array is bounded by a file's header.
+    a layer), its median and its scale are array expressions; only the slopes of a large one come from counts of pairs. A family is a part of
+    one file, so the array is bounded by a file's header.
     """
     group = [*keys, "family", "feature"]
     values = long_features(modules, [*keys, "family", "base", "layer", "expert"])
     members = values.groupBy(*group).agg(F.collect_list(F.struct("base", "layer", "expert", "raw", "value")).alias("m")).where(F.size("m") >= least)
     lined = (F.size("m") >= stats.MIN_DETREND) & F.forall("m", lambda v: v["layer"].isNotNull())
-    large = members.where(F.size("m") > ARRAY_FAMILY)
-    lines = grouped.theil_sen(large.where(lined).select(*group, F.inline("m")), group, "layer", "value").select(*group, "slope")
-    both = members.where(F.size("m") <= ARRAY_FAMILY).withColumn("slope", F.lit(None).cast("double")).unionByName(large.join(lines, group, "left"))
+    large = members.where(F.size("m") > grouped.ARRAY_GROUP)
+    lines = grouped.median_slopes(large.where(lined).select(*group, F.inline("m")), group, "layer", "value")
+    both = members.where(F.size("m") <= grouped.ARRAY_GROUP).withColumn("slope", F.lit(None).cast("double")).unionByName(large.join(lines, group, "left"))
     return both.select(*group, F.inline(_scores(lined))).select(*keys, "family", "base", "layer", "expert", "feature", "raw", "z")
 
 
 def _scores(lined: Column) -> Column:
     """The members "m" with z; null without any spread."""
-    steps = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["layer"] > a["layer"]), lambda b: (b["value"] - a["value"]) / (b["layer"] - a["layer"]))))
-    slope = F.when(lined, F.when(F.size("m") <= ARRAY_FAMILY, grouped.array_median(steps)).otherwise(F.col("slope")))
+    steps = grouped.pair_slopes("m", "layer", "value")
+    slope = F.when(lined, F.when(F.size("m") <= grouped.ARRAY_GROUP, grouped.array_median(steps)).otherwise(F.col("slope")))
     middle = grouped.array_median(F.transform("m", lambda v: F.coalesce(v["layer"].cast("double"), F.lit(0.0))))
     median = grouped.array_median(F.transform("m", lambda v: v["value"]))
     line = F.struct(slope.alias("slope"), middle.alias("x"), median.alias("y"), lined.alias("lined"))

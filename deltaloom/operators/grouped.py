@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions import stats
+from ..functions.slopes import median_slope
 from ..functions.stats import MAD_TO_SIGMA, MEANAD_TO_SIGMA, MIN_DETREND, MIN_FAMILY
 
 
@@ -81,16 +84,41 @@ def robust_z(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.join(s, keys).withColumn("z", (F.col(value) - F.col("med")) / F.col("scale")).drop("med", "scale")
 
 
+#: Points up to which the slopes of all pairs of a group are one array; those of larger groups are never all formed.
+ARRAY_GROUP = 1024
+
+
+def pair_slopes(points: str, x: str, y: str) -> Column:
+    """Of all pairs of an array's structs with different x."""
+    return F.flatten(F.transform(points, lambda a: F.transform(F.filter(points, lambda b: b[x] > a[x]), lambda b: (b[y] - a[y]) / (b[x] - a[x]))))
+
+
+def median_slopes(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """keys, slope: as theil_sen, for large groups. The pairs are counted, in n log n steps of a task that holds a group's points."""
+    px, py = (stats.finite(F.col(c).cast("double")) for c in (x, y))
+    known = points.select(*keys, px.alias("_x"), py.alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
+    schema = StructType([*known.select(*keys).schema.fields, StructField("slope", DoubleType())])
+
+    def slope_of(key, own):
+        import pandas as pd
+
+        return pd.DataFrame([[*key, median_slope(own["_x"], own["_y"])]], columns=schema.names)
+
+    return known.groupBy(*keys).applyInPandas(slope_of, schema)
+
+
 def theil_sen(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """keys, slope, intercept: the median of the slopes of all pairs with different x, and median(y) - slope * median(x).
 
-    Pairs are made within a group of at most a few thousand modules; a group's arrays are expanded row by row, so no join is needed.
+    Points that lack a finite coordinate are in no pair.
     """
-    points = df.groupBy(*keys).agg(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).alias("_p"), F.median(x).alias("_mx"), F.median(y).alias("_my"))
-    each = points.select(*keys, "_mx", "_my", "_p", F.explode("_p").alias("_a"))
-    slopes = F.transform(F.filter("_p", lambda b: b["x"] > F.col("_a.x")), lambda b: (b["y"] - F.col("_a.y")) / (b["x"] - F.col("_a.x")))
-    pairs = each.select(*keys, "_mx", "_my", F.explode_outer(slopes).alias("_s"))
-    return pairs.groupBy(*keys).agg(F.median("_s").alias("slope"), (F.first("_my") - F.median("_s") * F.first("_mx")).alias("intercept"))
+    px, py = (stats.finite(F.col(c).cast("double")) for c in (x, y))
+    point = F.when(px.isNotNull() & py.isNotNull(), F.struct(px.alias("x"), py.alias("y")))
+    groups = df.groupBy(*keys).agg(F.collect_list(point).alias("_p"), F.median(x).alias("_mx"), F.median(y).alias("_my"))
+    held = [*keys, "_mx", "_my"]
+    few = groups.where(F.size("_p") <= ARRAY_GROUP).select(*held, array_median(pair_slopes("_p", "x", "y")).alias("slope"))
+    many = median_slopes(groups.where(F.size("_p") > ARRAY_GROUP).select(*held, F.inline("_p")), held, "x", "y")
+    return few.unionByName(many).select(*keys, "slope", (F.col("_my") - F.col("slope") * F.col("_mx")).alias("intercept"))
 
 
 def detrended(df: DataFrame, keys: list[str], x: str, y: str, least: int = MIN_DETREND) -> DataFrame:

@@ -129,13 +129,16 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import stats
     from ..operators import compare
 
-    e = table(spark, sf_dir, "embeddings").withColumn("layer", (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).cast("int"))
+    e = table(spark, sf_dir, "embeddings")
     x = F.col("embedding")
     none = F.lit(None).cast("double")
     # the norms of the columns of a vector as a matrix of two rows
     folded = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.sqrt(F.get(x, i).cast("double") * F.get(x, i) + F.get(x, i + 32).cast("double") * F.get(x, i + 32)))
     own = {"log_rms": stats.log(stats.total(x, lambda v: F.abs(v))), "kurt_dw": stats.kurtosis(x), "row_hoyer": stats.hoyer(x), "row_top8": stats.top_share(x), "col_hoyer": stats.hoyer(folded)}
-    out = e.select(F.lit("all").alias("path"), F.col("vec_id").cast("string").alias("base"), F.concat(F.lit("m"), F.col("label").cast("string")).alias("module"), F.lit("").alias("stack"), "layer", F.lit(None).cast("int").alias("expert"), F.when(F.col("label") % 2 == 0, "attention").otherwise("mlp").alias("kind"), stats.total(x, lambda v: F.abs(v)).alias("energy"), *(own.get(f, none).alias(f) for f in stats.ALL_FEATURES))
+    # the features first, while the rows are spread; only then do a label's rows meet for their places
+    wide = e.select("vec_id", "label", stats.total(x, lambda v: F.abs(v)).alias("energy"), *(own.get(f, none).alias(f) for f in stats.ALL_FEATURES))
+    placed = wide.withColumn("layer", (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).cast("int"))
+    out = placed.select(F.lit("all").alias("path"), F.col("vec_id").cast("string").alias("base"), F.concat(F.lit("m"), F.col("label").cast("string")).alias("module"), F.lit("").alias("stack"), "layer", F.lit(None).cast("int").alias("expert"), F.when(F.col("label") % 2 == 0, "attention").otherwise("mlp").alias("kind"), "energy", *stats.ALL_FEATURES)
     return compare.with_family(out)
 
 
