@@ -1,5 +1,7 @@
 """Profiles, evaluation, rules, state, sinks and corpus reports."""
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window as W
@@ -453,16 +455,16 @@ def event_windows(spark, d):
 # numpy on executors
 @query("spectrum", "SELECT label, round(sum(g * g), 4) AS s4, round(sum(CASE WHEN i = j THEN g END), 4) AS s2 FROM (SELECT a.label, a.p AS i, b.p AS j, sum(a.v * b.v) AS g FROM (SELECT label, vec_id, generate_subscripts(embedding, 1) AS p, unnest(embedding)::DOUBLE AS v FROM embeddings) a JOIN (SELECT label, vec_id, generate_subscripts(embedding, 1) AS p, unnest(embedding)::DOUBLE AS v FROM embeddings) b USING (label, vec_id) GROUP BY ALL) t GROUP BY label")
 def spectrum(spark, d):
-    """Singular values of each label's matrix, from factors A (its vectors) and B (the identity); checked by the traces of G and G squared."""
-    rows = table(spark, d, "embeddings").select("label", "vec_id", "embedding")
+    """Singular values of each label's matrix, from factors A (the identity) and B (its vectors); checked by the traces of G and G squared."""
+    found = lowrank.grams(table(spark, d, "embeddings"), "label", "embedding")
 
-    def values_of(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.array(pdf.sort_values("vec_id")["embedding"].tolist(), np.float32)
-        s = lowrank.Update(a, np.eye(len(a), dtype=np.float32)).singular_values()
-        return pd.DataFrame({"label": [key[0]], "s2": [(s**2).sum()], "s4": [(s**4).sum()]})
+    def values_of(batches):
+        for batch in batches:
+            squares = [lowrank.singular_values(np.eye(n := math.isqrt(len(g))), np.reshape(g, (n, n))) ** 2 for g in batch["gram"]]
+            yield pd.DataFrame({"label": batch["label"], "s2": [s.sum() for s in squares], "s4": [(s**2).sum() for s in squares]})
 
-    kind = rows.schema["label"].dataType.simpleString()
-    out = rows.groupBy("label").applyInPandas(values_of, f"label {kind}, s2 double, s4 double")
+    kind = found.schema["label"].dataType.simpleString()
+    out = found.mapInPandas(values_of, f"label {kind}, s2 double, s4 double")
     return out.select("label", F.round("s4", 4).alias("s4"), F.round("s2", 4).alias("s2"))
 
 

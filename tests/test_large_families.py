@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from deltaloom.functions import slopes
-from deltaloom.operators import grouped
+from deltaloom.operators import grouped, lowrank
 from deltaloom.queries import ORACLES, QUERIES
 from deltaloom.queries.common import Z_SQL
 from test_queries import rows
@@ -65,3 +65,19 @@ def test_large_family(spark, large, name):
     rest = ORACLES[name].removeprefix(Z_SQL).strip()
     want = con.execute("WITH " + rest[1:] if rest.startswith(",") else rest).fetchdf()
     assert rows(QUERIES[name](spark, to).toPandas()) == rows(want)
+
+
+def test_large_label(spark, large):
+    to, con = large
+    assert rows(QUERIES["spectrum"](spark, to).toPandas()) == rows(con.execute(ORACLES["spectrum"]).fetchdf())
+
+
+def test_gram_sums_of_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(lowrank, "HELD_GRAMS", 2)
+    v = np.random.default_rng(3).normal(size=(40, 3)).astype(np.float32)
+    df = spark.createDataFrame([(i % 5 if i % 8 else None, x.tolist()) for i, x in enumerate(v)] + [(1, None)], "label int, v array<float>").repartition(3)
+    found = {r["label"]: np.reshape(r["gram"], (3, 3)) for r in lowrank.grams(df, "label", "v").collect()}
+    assert sorted(found) == [0, 1, 2, 3, 4]
+    for k, g in found.items():
+        own = np.array([x for i, x in enumerate(v) if i % 8 and i % 5 == k], float)
+        assert np.allclose(g, own.T @ own, rtol=1e-12)
