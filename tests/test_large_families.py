@@ -1,5 +1,7 @@
 """Families and labels of many members: the same rows as the SQL, without all pairs or all members in one place."""
 
+import os
+
 import duckdb
 import numpy as np
 import pytest
@@ -12,7 +14,7 @@ from test_queries import rows
 
 #: All pairs of so many members, as rows, do not fit the memory of the tests' session.
 MEMBERS = 12_000
-FAMILY_QUERIES = ["concentration_z"]
+FAMILY_QUERIES = ["concentration_z", "intra_summary"]
 
 
 def brute(x, y):
@@ -52,8 +54,10 @@ def large(tmp_path_factory):
     """A folder with one family of MEMBERS embeddings, and DuckDB with the z and m of it."""
     to = str(tmp_path_factory.mktemp("large"))
     con = duckdb.connect()
-    con.execute(f"COPY (SELECT vec_id + 2000 * r AS vec_id, embedding, 4 AS label FROM '/root/testdata/sf0.1/embeddings.parquet', range({MEMBERS // 2000}) t(r)) TO '{to}/embeddings.parquet'")
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{to}/embeddings.parquet'")
+    os.mkdir(f"{to}/embeddings.parquet")
+    for r in range(MEMBERS // 2000):
+        con.execute(f"COPY (SELECT vec_id + {2000 * r} AS vec_id, embedding, 4 AS label FROM '/root/testdata/sf0.1/embeddings.parquet') TO '{to}/embeddings.parquet/{r}.parquet'")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{to}/embeddings.parquet/*.parquet'")
     con.execute(f"CREATE TABLE z AS {Z_SQL} SELECT * FROM z")
     con.execute(f"CREATE TABLE m AS WITH {Z_SQL[Z_SQL.rindex('m AS (SELECT') :]} SELECT * FROM m")
     return to, con
