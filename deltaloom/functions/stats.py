@@ -20,6 +20,11 @@ def d(x: float) -> Column:
     return F.lit(float(x))
 
 
+def let(value: Column, body) -> Column:
+    """body of the value, which is computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def finite(x: Column) -> Column:
     """x, or null for NaN and infinities."""
     return F.when(~F.isnan(x) & (F.abs(x) != d(float("inf"))), x)
@@ -62,10 +67,8 @@ def top_share(xs: Column, k: int = 8) -> Column:
 def kurtosis(xs: Column) -> Column:
     """Pearson's, 3 for the normal distribution; null for a constant."""
     n = F.size(xs).cast("double")
-    mean = total(xs) / n
-    m2 = total(F.transform(xs, lambda x: (x.cast("double") - mean) * (x.cast("double") - mean))) / n
-    m4 = total(F.transform(xs, lambda x: F.pow(x.cast("double") - mean, d(4)))) / n
-    return F.when(m2 > 0, m4 / (m2 * m2))
+    of = lambda dev: let(total(dev, lambda x: x * x) / n, lambda m2: F.when(m2 > 0, total(dev, lambda x: F.pow(x, d(4))) / n / (m2 * m2)))
+    return let(let(total(xs) / n, lambda mean: F.transform(xs, lambda x: x.cast("double") - mean)), of)
 
 
 def significant(sigma: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import stats
+from ..functions.slopes import median_slope
 from . import grouped
 
 
@@ -25,33 +28,64 @@ def long_features(modules: DataFrame, id_cols: list[str]) -> DataFrame:
 def family_z(modules: DataFrame, keys: tuple[str, ...] = ("path",), least: int = stats.MIN_FAMILY) -> DataFrame:
     """keys, base, family, feature, layer, expert, raw, z of every module in a family of at least `least` usable values.
 
-    A family's values meet in one array, in a single shuffle; its Theil-Sen line over the layers (from MIN_DETREND values on, all with
-    a layer), its median and its scale are array expressions; only the slopes of a large one come from counts of pairs. A family is a part of
-    one file, so the array is bounded by a file's header.
+    A family's values meet in one shuffle. Of one of up to ARRAY_GROUP modules they are one array; its Theil-Sen line over the layers (from
+    MIN_DETREND values on, all with a layer), its median and its scale are array expressions. A larger one is scored in Arrow batches, so that no
+    row of the plan holds it.
     """
-    group = [*keys, "family", "feature"]
-    values = long_features(modules, [*keys, "family", "base", "layer", "expert"])
+    large = modules.groupBy(*keys, "family").agg(F.count("*").alias("_n")).where(F.col("_n") > grouped.ARRAY_GROUP).select(*keys, "family", F.lit(True).alias("_large"))
+    sized = grouped.joined(modules, F.broadcast(large), [*keys, "family"], "left")
+    values = long_features(sized, [*keys, "family", "base", "layer", "expert", "_large"])
+    few = _of_arrays(values.where("_large IS NULL"), [*keys, "family", "feature"], least)
+    many = _of_batches(values.where("_large"), [*keys, "family", "feature"], least)
+    return few.unionByName(many).select(*keys, "family", "base", "layer", "expert", "feature", "raw", "z")
+
+
+def _of_batches(values: DataFrame, group: list[str], least: int) -> DataFrame:
+    """values with z, a group as columns of numbers: 8 bytes a value and step."""
+    held = values.select(*group, "base", "layer", "expert", "raw", "value")
+    schema = StructType([*held.drop("value").schema.fields, StructField("z", DoubleType())])
+
+    def scored(table):
+        import pyarrow as pa
+
+        layer, rest = table["layer"], table.drop_columns(["value"])
+        z = _z(table["value"].to_numpy(), None if layer.null_count else layer.to_numpy()) if len(table) >= least else None
+        return rest.slice(0, 0).append_column("z", pa.array([], pa.float64())) if z is None else rest.append_column("z", pa.array(z))
+
+    return held.groupBy(*group).applyInArrow(scored, schema)
+
+
+def _z(value: np.ndarray, layer: np.ndarray | None) -> np.ndarray | None:
+    """As _scores: None without any spread."""
+    if layer is not None and len(value) >= stats.MIN_DETREND:
+        layer, slope = layer.astype(float), median_slope(layer, value)
+        level = np.median(value)
+        value = value - (level if np.isnan(slope) else level + slope * (layer - np.median(layer)))
+    off = value - np.median(value)
+    away = np.abs(off)
+    mad, mean = np.median(away), away.mean()
+    scale = stats.MAD_TO_SIGMA * mad if mad > 0 else stats.MEANAD_TO_SIGMA * mean
+    return off / scale if scale > 0 else None
+
+
+def _of_arrays(values: DataFrame, group: list[str], least: int) -> DataFrame:
     members = values.groupBy(*group).agg(F.collect_list(F.struct("base", "layer", "expert", "raw", "value")).alias("m")).where(F.size("m") >= least)
-    lined = (F.size("m") >= stats.MIN_DETREND) & F.forall("m", lambda v: v["layer"].isNotNull())
-    large = members.where(F.size("m") > grouped.ARRAY_GROUP)
-    lines = grouped.median_slopes(large.where(lined).select(*group, F.inline("m")), group, "layer", "value")
-    both = members.where(F.size("m") <= grouped.ARRAY_GROUP).withColumn("slope", F.lit(None).cast("double")).unionByName(large.join(lines, group, "left"))
-    return both.select(*group, F.inline(_scores(lined))).select(*keys, "family", "base", "layer", "expert", "feature", "raw", "z")
+    return members.select(*group, F.inline(_scores((F.size("m") >= stats.MIN_DETREND) & F.forall("m", lambda v: v["layer"].isNotNull()))))
 
 
 def _scores(lined: Column) -> Column:
     """The members "m" with z; null without any spread."""
     steps = grouped.pair_slopes("m", "layer", "value")
-    slope = F.when(lined, F.when(F.size("m") <= grouped.ARRAY_GROUP, grouped.array_median(steps)).otherwise(F.col("slope")))
+    slope = F.when(lined, grouped.array_median(steps))
     middle = grouped.array_median(F.transform("m", lambda v: F.coalesce(v["layer"].cast("double"), F.lit(0.0))))
     median = grouped.array_median(F.transform("m", lambda v: v["value"]))
     line = F.struct(slope.alias("slope"), middle.alias("x"), median.alias("y"), lined.alias("lined"))
     level = lambda v, f: F.when(f["slope"].isNotNull(), f["y"] + f["slope"] * (v["layer"] - f["x"])).when(f["lined"], f["y"]).otherwise(F.lit(0.0))
-    residuals = grouped.let(line, lambda f: F.transform("m", lambda v: v["value"] - level(v, f)))
+    residuals = stats.let(line, lambda f: F.transform("m", lambda v: v["value"] - level(v, f)))
     mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda t, v: t + v) / F.size(xs)
-    scale = lambda dev: grouped.let(grouped.array_median(dev), lambda mad: grouped.scale_of(mad, mean(dev)))
-    zs = lambda r, med: grouped.let(scale(F.transform(r, lambda v: F.abs(v - med))), lambda s: F.when(s > 0, F.transform(r, lambda v: (v - med) / s)))
-    z = grouped.let(residuals, lambda r: grouped.let(grouped.array_median(r), lambda med: zs(r, med)))
+    scale = lambda dev: stats.let(grouped.array_median(dev), lambda mad: grouped.scale_of(mad, mean(dev)))
+    zs = lambda r, med: stats.let(scale(F.transform(r, lambda v: F.abs(v - med))), lambda s: F.when(s > 0, F.transform(r, lambda v: (v - med) / s)))
+    z = stats.let(residuals, lambda r: stats.let(grouped.array_median(r), lambda med: zs(r, med)))
     return F.zip_with("m", z, lambda v, x: F.struct(v["base"].alias("base"), v["layer"].alias("layer"), v["expert"].alias("expert"), v["raw"].alias("raw"), x.alias("z")))
 
 

@@ -136,15 +136,10 @@ def dispersion(df: DataFrame, keys: list[str], value: str, least: int = MIN_FAMI
     return spread(df.where(F.col(value).isNotNull()).join(big.select(*keys), keys), keys, value).select(*keys, F.col("mad").alias("dispersion"))
 
 
-def let(value: Column, body) -> Column:
-    """body of the value, which is computed once however often body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def array_median(xs: Column) -> Column:
     """Of an array without nulls; null for an empty one."""
     at = lambda s, k: F.get(s, F.floor(k / 2).cast("int"))
-    return let(F.sort_array(xs), lambda s: (at(s, F.size(s) - 1) + at(s, F.size(s))) / 2)
+    return stats.let(F.sort_array(xs), lambda s: (at(s, F.size(s) - 1) + at(s, F.size(s))) / 2)
 
 
 def value_counts(df: DataFrame, value: str) -> DataFrame:

@@ -5,9 +5,10 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from deltaloom.functions import slopes
-from deltaloom.operators import grouped, lowrank
+from deltaloom.functions import slopes, stats
+from deltaloom.operators import compare, grouped, lowrank
 from deltaloom.queries import ORACLES, QUERIES
 from deltaloom.queries.common import Z_SQL
 from test_queries import rows
@@ -49,6 +50,24 @@ def test_lines_of_groups_of_any_size(spark, monkeypatch):
     assert few == many == want
 
 
+@pytest.mark.parametrize("limit", [grouped.ARRAY_GROUP, 20])
+def test_no_row_holds_a_large_family(spark, monkeypatch, limit):
+    rng = np.random.default_rng(6)
+    sizes = {"small": 18, "even": 41, "large": 40, "level": 30, "one place": 25, "unplaced": 33, "few": 9, None: 24}
+    layer = {"one place": lambda i: 3, "unplaced": lambda i: i if i % 5 else None}
+    df = spark.createDataFrame([("p", f, f"{f}{i:02d}", layer.get(f, lambda i: i)(i), i % 2 or None, 1.0 if f == "level" else float(rng.normal())) for f, n in sizes.items() for i in range(n)], "path string, family string, base string, layer int, expert int, log_rms double")
+    modules = df.select("*", *(F.lit(None).cast("double").alias(f) for f in stats.FEATURES if f != "log_rms"))
+    want = compare.family_z(modules).orderBy("base").collect()
+    assert {r["family"] for r in want} == {f for f in sizes if f not in ("few", "level")}
+    monkeypatch.setattr(grouped, "ARRAY_GROUP", limit)
+    scores = compare._scores
+    held = lambda *x: F.when(F.assert_true(F.size("m") <= limit, "a row holds a large family").isNull(), scores(*x))
+    monkeypatch.setattr(compare, "_scores", held)
+    got = compare.family_z(modules).orderBy("base").collect()
+    assert [r[:-1] for r in got] == [r[:-1] for r in want]
+    assert np.allclose([r["z"] for r in got], [r["z"] for r in want], rtol=1e-9, atol=1e-12)
+
+
 @pytest.fixture(scope="module")
 def large(tmp_path_factory):
     """A folder with one family of MEMBERS embeddings, and DuckDB with the z and m of it."""
