@@ -8,6 +8,8 @@ import numpy as np
 
 #: Pairs that are listed at once, and pairs that are drawn for the first bracket.
 LIMIT, SAMPLE = 1 << 18, 1 << 15
+#: What part of a bracket's pairs the next bracket leaves on either side of the median, if their slopes are even.
+NARROW = 512
 
 
 def inversions(p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -66,9 +68,13 @@ class _Points:
 
     def between(self, ranks: list[int], a: float, b: float) -> list[float]:
         """The slopes of these one or two ranks, which are at least a and less than b."""
-        low, high = self.below(a), self.below(b)
+        low, high, step = self.below(a), self.below(b), 0
         while high - low > LIMIT and b - a > self.blur(a, b):
-            middle = a + (b - a) / 2
+            # shortly before the ranks, shortly after them, as if the slopes were even; then half way, as they need not be
+            near = max(LIMIT // 4, (high - low) // NARROW)
+            share = ((ranks[0] - near - low) / (high - low), (ranks[-1] + near - low) / (high - low), 0.5)[step % 3]
+            step += 1
+            middle = a + (b - a) * (share if 0 < share < 1 else 0.5)
             n = self.below(middle)
             if n <= ranks[0]:
                 a, low = middle, n

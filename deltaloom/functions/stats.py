@@ -44,8 +44,9 @@ def total(xs: Column, of=lambda x: x) -> Column:
 
 def hoyer(xs: Column) -> Column:
     """Of an array: 0 for equal entries, 1 for a single one; null for fewer than two or all zero."""
-    n, l1, l2 = F.size(xs).cast("double"), total(xs, F.abs), F.sqrt(total(xs, lambda x: x * x))
-    return F.when((n >= 2) & (l2 > 0), (F.sqrt(n) - l1 / l2) / (F.sqrt(n) - 1))
+    n = lambda v: F.size(v).cast("double")
+    of = lambda v, l2: F.when((n(v) >= 2) & (l2 > 0), (F.sqrt(n(v)) - total(v, F.abs) / l2) / (F.sqrt(n(v)) - 1))
+    return let(xs, lambda v: let(F.sqrt(total(v, lambda x: x * x)), lambda l2: of(v, l2)))
 
 
 def gini(xs: Column) -> Column:
@@ -59,9 +60,8 @@ def gini(xs: Column) -> Column:
 
 def top_share(xs: Column, k: int = 8) -> Column:
     """Share of the squares that the k largest hold; null if all are zero."""
-    squares = F.transform(xs, lambda x: x.cast("double") * x.cast("double"))
-    s = total(squares)
-    return F.when(s > 0, total(F.slice(F.sort_array(squares, asc=False), 1, k)) / s)
+    of = lambda squares, s: F.when(s > 0, total(F.slice(F.sort_array(squares, asc=False), 1, k)) / s)
+    return let(F.transform(xs, lambda x: x.cast("double") * x.cast("double")), lambda squares: let(total(squares), lambda s: of(squares, s)))
 
 
 def kurtosis(xs: Column) -> Column:

@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import stats
 from ..functions.slopes import median_slope
@@ -34,25 +33,34 @@ def family_z(modules: DataFrame, keys: tuple[str, ...] = ("path",), least: int =
     """
     large = modules.groupBy(*keys, "family").agg(F.count("*").alias("_n")).where(F.col("_n") > grouped.ARRAY_GROUP).select(*keys, "family", F.lit(True).alias("_large"))
     sized = grouped.joined(modules, F.broadcast(large), [*keys, "family"], "left")
-    values = long_features(sized, [*keys, "family", "base", "layer", "expert", "_large"])
-    few = _of_arrays(values.where("_large IS NULL"), [*keys, "family", "feature"], least)
-    many = _of_batches(values.where("_large"), [*keys, "family", "feature"], least)
+    few = _of_arrays(long_features(sized.where("_large IS NULL"), [*keys, "family", "base", "layer", "expert"]), [*keys, "family", "feature"], least)
+    many = _of_batches(sized.where("_large"), [*keys, "family"], least)
     return few.unionByName(many).select(*keys, "family", "base", "layer", "expert", "feature", "raw", "z")
 
 
-def _of_batches(values: DataFrame, group: list[str], least: int) -> DataFrame:
-    """values with z, a group as columns of numbers: 8 bytes a value and step."""
-    held = values.select(*group, "base", "layer", "expert", "raw", "value")
-    schema = StructType([*held.drop("value").schema.fields, StructField("z", DoubleType())])
+def _of_batches(modules: DataFrame, group: list[str], least: int) -> DataFrame:
+    """family_z of large families: one row a module, as columns of numbers, goes to the scoring and comes back; only then are there rows of features."""
+    raw = {f: F.col(f).cast("double") for f in stats.FEATURES}
+    held = modules.select(*group, "base", "layer", "expert", *(c.alias(f"raw_{f}") for f, c in raw.items()), *(stats.transform(raw[f], kind).alias(f"z_{f}") for f, kind in stats.FEATURES.items()))
+    names = list(stats.FEATURES)
 
     def scored(table):
         import pyarrow as pa
 
-        layer, rest = table["layer"], table.drop_columns(["value"])
-        z = _z(table["value"].to_numpy(), None if layer.null_count else layer.to_numpy()) if len(table) >= least else None
-        return rest.slice(0, 0).append_column("z", pa.array([], pa.float64())) if z is None else rest.append_column("z", pa.array(z))
-
-    return held.groupBy(*group).applyInArrow(scored, schema)
+        layer = table["layer"]
+        for f in names:
+            at = table.schema.get_field_index(f"z_{f}")
+            known = table[at].is_valid().to_numpy()
+            value, own = table[at].drop_null().to_numpy(), layer.filter(table[at].is_valid())
+            z = _z(value, None if own.null_count else own.to_numpy()) if len(value) >= least else None
+            full = np.zeros(len(known))
+            full[known] = 0.0 if z is None else z
+            table = table.set_column(at, f"z_{f}", pa.array(full, mask=~known if z is not None else np.ones(len(known), bool)))
+        return table
+
+    wide = held.groupBy(*group).applyInArrow(scored, held.schema)
+    each = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"raw_{f}").alias("raw"), F.col(f"z_{f}").alias("z")) for f in names))
+    return wide.select(*group, "base", "layer", "expert", F.inline(each)).where("z IS NOT NULL")
 
 
 def _z(value: np.ndarray, layer: np.ndarray | None) -> np.ndarray | None:

@@ -39,6 +39,38 @@ def test_median_slope_is_that_of_all_pairs(monkeypatch, n, limit):
         assert slopes.median_slope(x, y) == pytest.approx(brute(x, y), rel=0, abs=0, nan_ok=True), name
 
 
+def test_few_counts_lead_to_the_median(monkeypatch):
+    monkeypatch.setattr(slopes, "LIMIT", 1000)
+    at, counts, below = np.arange(3000, dtype=float), [], slopes._Points.below
+    monkeypatch.setattr(slopes._Points, "below", lambda self, t: counts.append(t) or below(self, t))
+    noise = np.random.default_rng(8).normal(size=3000)
+    assert slopes.median_slope(at, noise) == brute(at, noise)
+    assert len(counts) <= 9
+
+
+@pytest.mark.parametrize("of", [stats.hoyer, stats.top_share])
+def test_an_array_is_computed_once(spark, of):
+    assert str(of(F.col("the_array"))).count("the_array") == 1
+
+
+def test_a_module_of_a_large_family_is_one_row_until_it_is_scored(spark, monkeypatch):
+    monkeypatch.setattr(grouped, "ARRAY_GROUP", 20)
+    rng = np.random.default_rng(9)
+    values = [("p", "f", f"{i:02d}", i, None, *(None if (i + k) % 11 == 0 else float(x) for k, x in enumerate(rng.uniform(0.1, 1, len(stats.FEATURES))))) for i in range(40)]
+    modules = spark.createDataFrame(values, "path string, family string, base string, layer int, expert int, " + ", ".join(f"{f} double" for f in stats.FEATURES))
+    z = compare.family_z(modules)
+    lines = z._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    k = next(i for i, x in enumerate(lines) if "FlatMapGroupsInArrow" in x)
+    under = [x for i, x in enumerate(lines[k + 1 :], k + 1) if all(depth(y) > depth(lines[k]) for y in lines[k + 1 : i + 1])]
+    assert under and not any("Generate" in x for x in under)
+    got = {(r["base"], r["feature"]): (r["raw"], r["z"]) for r in z.collect()}
+    monkeypatch.setattr(grouped, "ARRAY_GROUP", 100)
+    want = {(r["base"], r["feature"]): (r["raw"], r["z"]) for r in compare.family_z(modules).collect()}
+    assert len(want) == sum(x is not None for r in values for x in r[5:])
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-12) for k in want)
+
+
 def test_lines_of_groups_of_any_size(spark, monkeypatch):
     rng = np.random.default_rng(5)
     points = {(g, n): rng.normal(size=n) for g, n in ((1, 40), (2, 41), (None, 90), (3, 1))}
