@@ -14,10 +14,10 @@ NARROW = 512
 
 def inversions(p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Of a permutation of 0 to n - 1, bit by bit: values, start, count, order. A value's larger ones before it are order[start : start + count]."""
-    at = np.arange(len(p))
+    at = np.arange(len(p), dtype=p.dtype)
     for s in range(max(len(p) - 1, 1).bit_length() - 1, -1, -1):
         first, one = (p >> (s + 1)) << (s + 1), (p >> s) & 1
-        seen = np.cumsum(one) - one
+        seen = np.cumsum(one, dtype=p.dtype) - one
         before = seen - seen[first]
         order = np.empty_like(p)
         order[np.where(one == 1, first + (1 << s) + before, at - before)] = p
@@ -38,7 +38,7 @@ class _Points:
     def order(self, t: float) -> tuple[np.ndarray, np.ndarray]:
         """The points by what they have over a line of slope t, and each one's rank."""
         order = np.argsort(self.y - t * self.x, kind="stable")
-        rank = np.empty_like(order)
+        rank = np.empty(len(order), np.min_scalar_type(-2 * len(order)))
         rank[order] = np.arange(len(order))
         return order, rank
 

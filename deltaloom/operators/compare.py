@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import stats
 from ..functions.slopes import median_slope
@@ -28,52 +29,54 @@ def family_z(modules: DataFrame, keys: tuple[str, ...] = ("path",), least: int =
     """keys, base, family, feature, layer, expert, raw, z of every module in a family of at least `least` usable values.
 
     A family's values meet in one shuffle. Of one of up to ARRAY_GROUP modules they are one array; its Theil-Sen line over the layers (from
-    MIN_DETREND values on, all with a layer), its median and its scale are array expressions. A larger one is scored in Arrow batches, so that no
-    row of the plan holds it.
+    MIN_DETREND values on, all with a layer), its median and its scale are array expressions. Of a larger one, a task holds the layers and values
+    only, for the line, the median and the scale; its modules stay where they are.
     """
     large = modules.groupBy(*keys, "family").agg(F.count("*").alias("_n")).where(F.col("_n") > grouped.ARRAY_GROUP).select(*keys, "family", F.lit(True).alias("_large"))
     sized = grouped.joined(modules, F.broadcast(large), [*keys, "family"], "left")
     few = _of_arrays(long_features(sized.where("_large IS NULL"), [*keys, "family", "base", "layer", "expert"]), [*keys, "family", "feature"], least)
-    many = _of_batches(sized.where("_large"), [*keys, "family"], least)
+    many = _of_lines(sized.where("_large"), [*keys, "family"], least)
     return few.unionByName(many).select(*keys, "family", "base", "layer", "expert", "feature", "raw", "z")
 
 
-def _of_batches(modules: DataFrame, group: list[str], least: int) -> DataFrame:
-    """family_z of large families: one row a module, as columns of numbers, goes to the scoring and comes back; only then are there rows of features."""
-    raw = {f: F.col(f).cast("double") for f in stats.FEATURES}
-    held = modules.select(*group, "base", "layer", "expert", *(c.alias(f"raw_{f}") for f, c in raw.items()), *(stats.transform(raw[f], kind).alias(f"z_{f}") for f, kind in stats.FEATURES.items()))
+def _of_lines(modules: DataFrame, group: list[str], least: int) -> DataFrame:
+    """family_z of large families: layers and values alone go to Python, one row a family comes back, and the modules are scored where they are."""
     names = list(stats.FEATURES)
+    raw = {f: F.col(f).cast("double") for f in names}
+    value = {f: stats.transform(raw[f], kind) for f, kind in stats.FEATURES.items()}
+    held = modules.select(*group, "layer", *(value[f].alias(f"value_{f}") for f in names))
 
-    def scored(table):
+    def lines(table):
         import pyarrow as pa
 
-        layer = table["layer"]
+        out = table.select(group).slice(0, 1)
         for f in names:
-            at = table.schema.get_field_index(f"z_{f}")
-            known = table[at].is_valid().to_numpy()
-            value, own = table[at].drop_null().to_numpy(), layer.filter(table[at].is_valid())
-            z = _z(value, None if own.null_count else own.to_numpy()) if len(value) >= least else None
-            full = np.zeros(len(known))
-            full[known] = 0.0 if z is None else z
-            table = table.set_column(at, f"z_{f}", pa.array(full, mask=~known if z is not None else np.ones(len(known), bool)))
-        return table
-
-    wide = held.groupBy(*group).applyInArrow(scored, held.schema)
-    each = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"raw_{f}").alias("raw"), F.col(f"z_{f}").alias("z")) for f in names))
-    return wide.select(*group, "base", "layer", "expert", F.inline(each)).where("z IS NOT NULL")
-
-
-def _z(value: np.ndarray, layer: np.ndarray | None) -> np.ndarray | None:
-    """As _scores: None without any spread."""
+            known = table[f"value_{f}"].is_valid()
+            own, layer = table[f"value_{f}"].drop_null().to_numpy(), table["layer"].filter(known)
+            line = _line(own, None if layer.null_count else layer.to_numpy()) if len(own) >= least else None
+            out = out.append_column(f"line_{f}", pa.array([line], pa.list_(pa.float64())))
+        return out
+
+    schema = StructType([*held.select(*group).schema.fields, *(StructField(f"line_{f}", ArrayType(DoubleType())) for f in names)])
+    scored = grouped.joined(modules, F.broadcast(held.groupBy(*group).applyInArrow(lines, schema)), group)
+    place = F.coalesce(F.col("layer").cast("double"), F.lit(0.0))
+    z = lambda x, f: (x - (f[2] + f[0] * (place - f[1])) - f[3]) / f[4]
+    each = F.array(*(F.struct(F.lit(f).alias("feature"), raw[f].alias("raw"), z(value[f], F.col(f"line_{f}")).alias("z")) for f in names))
+    return scored.select(*group, "base", "layer", "expert", F.inline(each)).where("z IS NOT NULL")
+
+
+def _line(value: np.ndarray, layer: np.ndarray | None) -> list[float] | None:
+    """As _scores: slope, its middle, level, the median of what is left, and scale; None without any spread."""
+    slope = middle = level = 0.0
     if layer is not None and len(value) >= stats.MIN_DETREND:
-        layer, slope = layer.astype(float), median_slope(layer, value)
-        level = np.median(value)
-        value = value - (level if np.isnan(slope) else level + slope * (layer - np.median(layer)))
-    off = value - np.median(value)
-    away = np.abs(off)
+        level, slope = np.median(value), median_slope(layer, value)
+        slope, middle = (0.0, 0.0) if np.isnan(slope) else (slope, np.median(layer))
+        value = value - (level + slope * (layer - middle))
+    med = np.median(value)
+    away = np.abs(value - med)
     mad, mean = np.median(away), away.mean()
     scale = stats.MAD_TO_SIGMA * mad if mad > 0 else stats.MEANAD_TO_SIGMA * mean
-    return off / scale if scale > 0 else None
+    return [float(x) for x in (slope, middle, level, med, scale)] if scale > 0 else None
 
 
 def _of_arrays(values: DataFrame, group: list[str], least: int) -> DataFrame:

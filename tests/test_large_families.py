@@ -71,6 +71,22 @@ def test_a_module_of_a_large_family_is_one_row_until_it_is_scored(spark, monkeyp
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-12) for k in want)
 
 
+def test_of_a_large_family_a_task_holds_layers_and_values_only(spark, monkeypatch):
+    monkeypatch.setattr(grouped, "ARRAY_GROUP", 20)
+    rng = np.random.default_rng(10)
+    lead = {"lined": lambda i: i, "one place": lambda i: 3, "unplaced": lambda i: i if i % 5 else None, None: lambda i: 2 * i}
+    values = [("p", f, f"{f}{i:02d}", layer(i), None, *(None if (i + k) % 7 == 0 else 0.5 if k == 2 else float(x) for k, x in enumerate(rng.uniform(0.1, 1, len(stats.FEATURES))))) for f, layer in lead.items() for i in range(40)]
+    modules = spark.createDataFrame(values, "path string, family string, base string, layer int, expert int, " + ", ".join(f"{f} double" for f in stats.FEATURES))
+    z = compare.family_z(modules)
+    scoring = next(x for x in z._jdf.queryExecution().optimizedPlan().toString().split("\n") if "FlatMapGroupsInArrow" in x)
+    assert "layer#" in scoring and not any(c in scoring for c in ("base#", "expert#", "raw_"))
+    got = {(r["base"], r["layer"], r["feature"]): (r["raw"], r["z"]) for r in z.collect()}
+    monkeypatch.setattr(grouped, "ARRAY_GROUP", 100)
+    want = {(r["base"], r["layer"], r["feature"]): (r["raw"], r["z"]) for r in compare.family_z(modules).collect()}
+    assert len(want) > 1000 and got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-9) for k in want)
+
+
 def test_lines_of_groups_of_any_size(spark, monkeypatch):
     rng = np.random.default_rng(5)
     points = {(g, n): rng.normal(size=n) for g, n in ((1, 40), (2, 41), (None, 90), (3, 1))}
